@@ -6,20 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slicewright.llm import exact_dedup, quality_rules
-from slicewright.session import table
+from slicewright.llm import exact_dedup, quality_model, quality_rules, token_store
+from slicewright.session import materialize, table
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    store = token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    rows = materialize(token_store.read(store).drop("ids"), "read_back")
+    store.drop()
+    return rows
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_quality_rules, op9_exact_dedup)}
+    return {f.__name__: f for f in (op3_quality_classifier, op6_quality_rules, op8_token_store, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
