@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slicewright.llm import exact_dedup, quality_model, quality_rules, token_store
+from slicewright.llm import exact_dedup, html_wrapper, mixing, packing, quality_model, quality_rules, token_store, toxicity
 from slicewright.session import materialize, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.main_text(table(spark, sf_dir, "pages"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -33,9 +45,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_classifier, op6_quality_rules, op8_token_store, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_source_mixing, op3_quality_classifier, op4_html_extraction, op5_best_fit_packing, op6_quality_rules, op8_token_store, op9_exact_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_source_mixing": mixing.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
