@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slicewright.llm import exact_dedup, html_wrapper, mixing, packing, quality_model, quality_rules, token_store, toxicity
+from slicewright.llm import exact_dedup, html_wrapper, jaccard_join, mixing, packing, quality_model, quality_rules, token_store, toxicity
 from slicewright.session import materialize, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -32,6 +32,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_source_mixing, op3_quality_classifier, op4_html_extraction, op5_best_fit_packing, op6_quality_rules, op8_token_store, op9_exact_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op2_source_mixing, op3_quality_classifier, op4_html_extraction, op5_best_fit_packing, op6_quality_rules, op7_jaccard_join, op8_token_store, op9_exact_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
