@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slicewright.llm import exact_dedup, html_wrapper, jaccard_join, mixing, packing, quality_model, quality_rules, token_store, toxicity
+from slicewright.llm import exact_dedup, html_wrapper, jaccard_join, mixing, packing, quality_model, quality_rules, suffix_dedup, token_store, toxicity
 from slicewright.session import materialize, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(table(spark, sf_dir, "documents"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_source_mixing, op3_quality_classifier, op4_html_extraction, op5_best_fit_packing, op6_quality_rules, op7_jaccard_join, op8_token_store, op9_exact_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_source_mixing, op3_quality_classifier, op4_html_extraction, op5_best_fit_packing, op6_quality_rules, op7_jaccard_join, op8_token_store, op9_exact_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
