@@ -21,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +34,24 @@ from slicewright.session import drop_materialized, materialize, release
 END_ID = 0
 WINDOW, AVERAGE, LEAST, MOST = 16, 512, 128, 4096
 #: Entries of each worker's word cache, after which it starts anew: a bound on memory.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 _STREAM = "kind string, key binary, doc_id long, n_tokens long, ids_crc32 long, digests array<binary>, payload binary"
 _PLACED = "doc_id long, local_start long, n_tokens long, ids_crc32 long, digests array<binary>, part int, block int, block_root binary"
-#: A space that has white space or an end of the text beside it; words are then not cut there.
-_BESIDE_SPACE = re.compile(r"\s | \s|^ | $")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
+def single_spaced(text: str) -> bool:
+    """Whether each space of a text has other than white space on both sides (tabs and the like are not looked into)."""
+    return not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or "\0" in text or _OTHER_SPACE.search(text))
 
 
 class Encoder:
     """Encodes texts, each distinct space-led word once while it stays in the cache.
 
     The byte-level pattern never joins a word to the single space that follows it, so a text without other white
-    space beside a space can be cut before each space; other texts are encoded whole.
+    space beside a space can be cut before each space; other texts are encoded whole. New words are encoded many at a time: only
+    the first token of a space-led word starts with the vocabulary's sign for a space, which tells the words apart again.
     """
 
     def __init__(self, path: str):
@@ -53,29 +59,37 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.leads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.words: dict[str, bytes] = {}
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        led = [w for w in new if w[:1] == " "]
+        for at in range(0, len(led), 2000):
+            words = led[at : at + 2000]
+            ids = self._whole(["".join(words)])[0]
+            ends = [*(4 * np.flatnonzero(self.leads[ids])[1:]).tolist(), 4 * len(ids)]
+            if len(ends) != len(words):
+                raise ValueError("words do not come apart: the vocabulary is not byte-level")
+            data, last = ids.tobytes(), 0
+            for word, end in zip(words, ends, strict=True):
+                self.words[word] = data[last:end]
+                last = end
+        first = [w for w in new if w[:1] != " "]
+        self.words.update(zip(first, (x.tobytes() for x in self._whole(first)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian uint32 bytes."""
-        cut: list[list[str] | None] = []
-        new: dict[str, None] = {}
-        known = self.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for text in texts:
-            if _BESIDE_SPACE.search(text):
-                cut.append(None)
-                continue
-            pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-            cut.append(pieces)
-            new.update(dict.fromkeys(p for p in pieces if p not in known))
-        if new:
-            known.update(zip(new, self._plain(list(new)), strict=True))
-        whole = iter(self._plain([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
-        return [next(whole) if pieces is None else b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        cut = [t.replace(" ", "\0 ").split("\0") if single_spaced(t) else None for t in texts]
+        self._learn(set(chain.from_iterable(pieces for pieces in cut if pieces)).difference(self.words))
+        whole = iter(self._whole([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
+        return [next(whole).tobytes() if pieces is None else b"".join(map(self.words.__getitem__, pieces)) for pieces in cut]
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -187,7 +201,7 @@ def write(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: st
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"token_store_{uuid.uuid4().hex[:12]}"
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(_stream(tokenizer_path, wide), _STREAM)
-    rows.dropDuplicates(["key"]).write.partitionBy("kind").bucketBy(buckets, "key").option("compression", "zstd").saveAsTable(name)
+    rows.repartition("key").dropDuplicates(["key"]).write.partitionBy("kind").bucketBy(buckets, "key").option("compression", "zstd").saveAsTable(name)
     release(spark)
     recipes = spark.table(name).where("kind = 'recipe'").select("doc_id", "n_tokens", "ids_crc32", "digests", "key")
     ordered = recipes.repartitionByRange("doc_id", "n_tokens", "ids_crc32", "key").sortWithinPartitions("doc_id", "n_tokens", "ids_crc32", "key")
