@@ -15,6 +15,7 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts earlier: in a sm
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -232,12 +233,18 @@ def _surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor, left, piece, doc and start: the repeated stretches."""
     anchor, same, group, block, size, out = None, None, [], [], 0, []
+    half = (LENGTH - GRAM) // 2
 
     def close() -> None:
+        """Equal strings around an anchor go on for ``half`` bytes to the left or to the right of it, so others need no sorting."""
         nonlocal size
         if len(group) > 1:
-            block.extend(group)
-            size += sum(len(g[2]) for g in group)
+            sides = [(piece[left - half : left] if left >= half else None, piece[left + GRAM : left + GRAM + half] if len(piece) >= left + GRAM + half else None) for _, _, piece, left in group]
+            before, after = Counter(x for x, _ in sides), Counter(y for _, y in sides)
+            for (doc, start, piece, _), (x, y) in zip(group, sides, strict=True):
+                if x is not None and before[x] > 1 or y is not None and after[y] > 1:
+                    block.append((doc, start, piece))
+                    size += len(piece)
         group.clear()
 
     def solve() -> None:
@@ -263,7 +270,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((doc, start, stop))
             else:
                 same = (left, piece)
-                group.append((doc, start, piece))
+                group.append((doc, start, piece, left))
         if len(out) > 50_000:
             yield flush()
     close()
