@@ -5,7 +5,7 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts earlier: in a sm
 1. Equal texts: all but the first go whole, so copies of documents take no further part.
 2. Anchors: of the ``GRAM``-byte hashes that start in any ``LENGTH``-byte string the least ones are anchors, so equal strings have equal anchors at equal places.
    Anchors that occur once are done with.
-3. The surroundings of repeated anchors, all strings of ``LENGTH`` bytes that hold the anchor, are dealt by anchor. Of equal surroundings the first stays, in each task before
+3. The surroundings of repeated anchors, all strings of ``LENGTH`` bytes in which the anchor is least, are dealt by anchor. Of equal surroundings the first stays, in each task before
    the shuffle and once more after it; the others are repeats as a whole. What is left is joined into blocks and sorted: suffixes smaller than their
    successors directly, all others by scanning the buckets of first bytes in order. Runs of adjacent common prefixes of ``LENGTH`` and more
    are equal strings, of which all but the earliest are repeats.
@@ -56,11 +56,11 @@ def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
 
 
-def anchors(data: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors of a text."""
+def anchors(data: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes, first, last) of the anchors of a text: an anchor is the least hash in the strings that start from first to last."""
     n = len(data)
     if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     up, down = powers.upto(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(np.frombuffer(data, np.uint8).astype(np.uint64) * up + up, out=sums[1:])
@@ -71,7 +71,13 @@ def anchors(data: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     padded = np.zeros(len(least) + 2 * (SPAN - 1), np.uint64)
     padded[SPAN - 1 : SPAN - 1 + len(least)] = least
     places = np.flatnonzero(_sliding(padded, SPAN, np.maximum) == h)
-    return places, h[places].view(np.int64)
+    runs = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    stops = np.append(runs[1:], len(least)) - 1
+    low, high = np.maximum(places - SPAN + 1, 0), np.minimum(places, len(least) - 1)
+    run = np.searchsorted(runs, low, side="right") - 1
+    while len(wrong := np.flatnonzero(least[runs[run]] != h[places])):
+        run[wrong] += 1
+    return places, h[places].view(np.int64), np.maximum(low, runs[run]), np.minimum(high, stops[run])
 
 
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -208,10 +214,10 @@ def _surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "wanted")), strict=True):
             data = (text or "").encode()
-            places, hashes = anchors(data, powers)
-            chosen = np.isin(hashes, np.array(wanted, np.int64))
-            for place, anchor in zip(places[chosen].tolist(), hashes[chosen].tolist(), strict=True):
-                start, stop = max(0, place - LENGTH + GRAM), min(len(data), place + LENGTH)
+            found = anchors(data, powers)
+            chosen = np.isin(found[1], np.array(wanted, np.int64))
+            for place, anchor, start, last in zip(*(x[chosen].tolist() for x in found), strict=True):
+                stop = last + LENGTH
                 piece = data[start:stop]
                 key = (anchor, place - start, hashlib.blake2b(piece, digest_size=16).digest())
                 at = (doc, start)
