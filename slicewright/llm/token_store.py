@@ -34,7 +34,7 @@ from slicewright.session import drop_materialized, materialize, release
 END_ID = 0
 WINDOW, AVERAGE, LEAST, MOST = 16, 512, 128, 4096
 #: Entries of each worker's word cache, after which it starts anew: a bound on memory.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 
 _STREAM = "kind string, key binary, doc_id long, n_tokens long, ids_crc32 long, digests array<binary>, payload binary"
 _PLACED = "doc_id long, local_start long, n_tokens long, ids_crc32 long, digests array<binary>, part int, block int, block_root binary"
