@@ -124,7 +124,7 @@ def mix(docs: DataFrame, plan: Plan | None = None, text: str = "text") -> DataFr
     """
     plan = plan or Plan()
     rows = _plan_rows(docs, plan, text)
-    leaves = materialize(thresholds(rows, budgets(rows, plan), plan).select(*LEAF, "full", "last"), "plan")
+    leaves = materialize(thresholds(rows, materialize(budgets(rows, plan), "budgets"), plan).select(*LEAF, "full", "last"), "plan")
     taken = rows.join(leaves, LEAF)  # their measured size decides between broadcast and shuffle
     return taken.select("doc_id", *LEAF, _epochs("full", "last", "doc_id", plan.seed).alias("epoch"), "n_tokens")
 
@@ -133,7 +133,7 @@ def mix_documents(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     """The documents themselves, whole and with their own columns, once for each epoch that takes them."""
     plan = plan or Plan()
     rows = _plan_rows(docs, plan)
-    leaves = thresholds(rows, budgets(rows, plan), plan).select(*[F.col(c).alias(f"__{c}") for c in LEAF], F.col("full").alias("__full"), F.col("last").alias("__last"))
+    leaves = thresholds(rows, materialize(budgets(rows, plan), "budgets"), plan).select(*[F.col(c).alias(f"__{c}") for c in LEAF], F.col("full").alias("__full"), F.col("last").alias("__last"))
     taken = docs.withColumns(_keys(plan)).join(materialize(leaves, "plan"), [f"__{c}" for c in LEAF])
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns], _epochs("__full", "__last", "doc_id", plan.seed).alias("__epoch")).drop("__epoch")
 
