@@ -797,9 +797,9 @@ def ds_report(spark, sf_dir):
 
 
 def _log():
-    from slicewright.jobs import JobList, UrdLog
+    from slicewright.jobs import JobList, BuildLog
 
-    log = UrdLog()
+    log = BuildLog()
     for at in ("2016-10-01", "2016-10-02", "2016-10-05"):
         log.begin("ab/test", at)
         log.finish(JobList())

@@ -180,7 +180,7 @@ class Entry:
     ghost: bool = False
 
 
-class UrdLog:
+class BuildLog:
     """An append-only log of job lists by key and timestamp, kept as JSON lines and replayed at the start.
 
     Entries that are updated or truncated, and all that depend on them, become ghosts.

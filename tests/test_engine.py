@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from slicewright.catalog import Catalog, DatasetError, SkipDataset
 from slicewright.functions.hashing import md5_slice
-from slicewright.jobs import Builder, JobError, JobList, UrdLog, method, timestamp
+from slicewright.jobs import Builder, JobError, JobList, BuildLog, method, timestamp
 from slicewright.operators import aggregate, inspect, repartition, sorting, typing
 from slicewright.plans.ordinals import deal, number_rows
 from slicewright.plans.scan import Scan, row_window
@@ -200,7 +200,7 @@ def test_jobs():
 
 def test_log(tmp_path):
     path = str(tmp_path / "log")
-    log = UrdLog(path)
+    log = BuildLog(path)
     for at in ("2016-10-01 03", "2016-10-01 20", 7):
         log.begin("a/b", at)
         log.finish(JobList())
@@ -208,12 +208,12 @@ def test_log(tmp_path):
     assert log.get("a/b", "<=2016-10-01").timestamp == "2016-10-01 20"
     log.finish(JobList())
     assert sorted(["2016-10-01", 5, "2016-10-01+1", 100], key=timestamp) == [5, 100, "2016-10-01", "2016-10-01+1"]
-    again = UrdLog(path)
+    again = BuildLog(path)
     assert again.peek("a/b", "first").timestamp == 7
     assert again.since("a/b", 7) == ["2016-10-01 03", "2016-10-01 20"]
     again.truncate("a/b", "2016-10-01 20")
     assert [g.key for g in again.ghosts] == ["a/b", "a/c"]
-    assert UrdLog(path).keys() == ["a/b"]
+    assert BuildLog(path).keys() == ["a/b"]
 
 
 def test_stream_appends_links(spark, tmp_path):
