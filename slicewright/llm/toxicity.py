@@ -21,7 +21,7 @@ from slicewright.llm.quality_model import labelled
 from slicewright.llm.textcols import crc_mod
 
 #: Labelled rows that the network is fitted on at most: those with the smallest hashes of their ids.
-SAMPLE = 3_000
+SAMPLE = 6_000
 WINDOW, STRIDE = 40, 34
 WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN = 65536, 16384, 8, 12, 8
 #: Words whose projected inputs a worker keeps, after which it starts anew.
@@ -249,9 +249,9 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 12, seed: int = 7) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Network:
-    """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0: a quarter of the sample toxic ones, as far as there are so many."""
+    """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0: up to a quarter of the sample toxic ones, up to half of it others."""
     got = []
-    for label, most in ((1, sample // 4), (0, sample - sample // 4)):
+    for label, most in ((1, sample // 4), (0, sample // 2)):
         got += [tuple(r) for r in labelled(docs, labels.where(F.col("toxic") == label), "toxic", 5, 0, most, doc_id, text).collect()]  # at most ``sample`` rows
     return fit(sorted(got, key=lambda r: (r[1], r[0] or "")))
 
