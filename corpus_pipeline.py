@@ -19,7 +19,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their 3-word shingles, the one with the smallest id."""
+    """Of documents linked by their 5-word shingles, at a similarity of 0.8 or more, the one with the smallest id."""
     return jaccard_join.keep_first(docs)
 
 

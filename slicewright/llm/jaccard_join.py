@@ -1,4 +1,4 @@
-"""Exact n-gram Jaccard self-join with set-relation skipping; documents linked at ``THRESHOLD`` form components.
+"""Exact n-gram Jaccard self-join with set-relation skipping; documents linked at a threshold form components.
 
 1. Each document becomes its set of hashed shingles. Equal sets form one class; only classes go on.
 2. Candidates: a set is cut by hash position into as many parts, and one more, than two linked sets of its size can differ in tokens, so
@@ -16,7 +16,8 @@ Shingles and classes have 64-bit hashes: among n different sets some two collide
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,8 @@ from pyspark.sql import functions as F
 from slicewright.llm.components import components
 from slicewright.session import drop_materialized, materialize, release
 
-WORDS = 3
-#: Linked: 100 * intersection >= THRESHOLD * union.
-THRESHOLD = 90
+#: Words of a shingle, and the threshold: linked if 100 * intersection >= THRESHOLD * union.
+WORDS, THRESHOLD = 5, 80
 BLOCK = 512
 CACHE_WORDS = 300_000
 
@@ -75,8 +75,11 @@ def size_blocks(most: int, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
     return blocks
 
 
-_BLOCKS = size_blocks(1 << 40)
-_LOWS = np.array([low for low, _ in _BLOCKS])
+@cache
+def _blocks(threshold: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """The blocks of all sizes, and the least size of each."""
+    blocks = size_blocks(1 << 40, threshold)
+    return blocks, np.array([low for low, _ in blocks])
 
 
 def differing(high: int, threshold: int = THRESHOLD) -> int:
@@ -84,14 +87,15 @@ def differing(high: int, threshold: int = THRESHOLD) -> int:
     return 2 * high * (100 - threshold) // (100 + threshold)
 
 
-def signatures(tokens: np.ndarray) -> np.ndarray:
+def signatures(tokens: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
     """The index lists that a set is in: a hash of size block, position and content of each part, for its block and the next."""
     if not len(tokens):
         return np.zeros(0, np.int64)
-    own, out = int(np.searchsorted(_LOWS, len(tokens), side="right")) - 1, []
+    blocks, lows = _blocks(threshold)
+    own, out = int(np.searchsorted(lows, len(tokens), side="right")) - 1, []
     mixed = _mixed(tokens)
     for block in (own, own + 1):
-        most = differing(_BLOCKS[block][1])
+        most = differing(blocks[block][1], threshold)
         if not most:
             continue  # only equal sets are linked at such sizes
         parts = most + 2
@@ -110,19 +114,22 @@ def class_of(tokens: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else None
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler, seen = Shingler(), set()
-    for batch in batches:
-        sizes, classes, lists = [], [], []
-        for text in batch.column(1).to_pylist():
-            tokens = shingler(text)
-            sizes.append(len(tokens))
-            classes.append(class_of(tokens))
-            if len(seen) > 2_000_000:
-                seen.clear()
-            lists.append(None if classes[-1] in seen else signatures(tokens))  # a task lists a class once
-            seen.add(classes[-1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "n", "class", "lists"])
+def _describe(words: int, threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, seen = Shingler(words), set()
+        for batch in batches:
+            sizes, classes, lists = [], [], []
+            for text in batch.column(1).to_pylist():
+                tokens = shingler(text)
+                sizes.append(len(tokens))
+                classes.append(class_of(tokens))
+                if len(seen) > 2_000_000:
+                    seen.clear()
+                lists.append(None if classes[-1] in seen else signatures(tokens, threshold))  # a task lists a class once
+                seen.add(classes[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "n", "class", "lists"])
+
+    return run
 
 
 def _links(sets: list[np.ndarray], sides: list[int], cross: bool, weights: list[int], threshold: int = THRESHOLD) -> tuple[list[tuple[int, int]], list[int]]:
@@ -190,54 +197,64 @@ def _links(sets: list[np.ndarray], sides: list[int], cross: bool, weights: list[
     return spanning, linked
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tiles(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows sorted by tile: each tile's links (a, b) and weights of links (a, null, weight)."""
-    tile, rows, out = None, {}, []
-
-    def finish() -> None:
-        members = sorted(rows.items(), key=lambda x: (len(x[1][0]), x[1][0].tobytes()))
-        if len(members) > 1:
-            spanning, linked = _links([m[1][0] for m in members], [m[1][1] for m in members], tile[1] != tile[2], [m[1][2] for m in members])
-            out.extend((members[a][0], members[b][0], 0) for a, b in spanning)
-            out.extend((members[a][0], None, w) for a, w in enumerate(linked) if w)
-
-    def flush() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "w"])
-
-    for batch in batches:
-        for comp, i, j, cls, block, copies, data in zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j", "class", "block", "copies", "tokens")), strict=True):
-            if (comp, i, j) != tile:
-                if tile:
-                    finish()
-                tile, rows = (comp, i, j), {}
-            rows[cls] = (np.frombuffer(data, np.uint64), block, copies)
-        if len(out) > 50_000:
-            yield flush()
-    if tile:
-        finish()
-    yield flush()
-
-
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler = Shingler()
-    for batch in batches:
-        sets = [shingler(t) for t in batch.column("text").to_pylist()]
-        right = [class_of(s) == c for s, c in zip(sets, batch.column("class").to_pylist(), strict=True)]  # an id may have several texts
-        out = batch.drop_columns(["text"]).append_column("tokens", pa.array([s.tobytes() for s in sets], pa.binary()))
-        yield out.filter(pa.array(right))
-
-
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, rows, out = None, {}, []
+
+        def finish() -> None:
+            members = sorted(rows.items(), key=lambda x: (len(x[1][0]), x[1][0].tobytes()))
+            if len(members) > 1:
+                spanning, linked = _links([m[1][0] for m in members], [m[1][1] for m in members], tile[1] != tile[2], [m[1][2] for m in members], threshold)
+                out.extend((members[a][0], members[b][0], 0) for a, b in spanning)
+                out.extend((members[a][0], None, w) for a, w in enumerate(linked) if w)
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "w"])
+
+        for batch in batches:
+            for comp, i, j, cls, block, copies, data in zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j", "class", "block", "copies", "tokens")), strict=True):
+                if (comp, i, j) != tile:
+                    if tile:
+                        finish()
+                    tile, rows = (comp, i, j), {}
+                rows[cls] = (np.frombuffer(data, np.uint64), block, copies)
+            if len(out) > 50_000:
+                yield flush()
+        if tile:
+            finish()
+        yield flush()
+
+    return run
+
+
+def _tokens(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            sets = [shingler(t) for t in batch.column("text").to_pylist()]
+            right = [class_of(s) == c for s, c in zip(sets, batch.column("class").to_pylist(), strict=True)]  # an id may have several texts
+            out = batch.drop_columns(["text"]).append_column("tokens", pa.array([s.tobytes() for s in sets], pa.binary()))
+            yield out.filter(pa.array(right))
+
+    return run
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links), n_links (other rows it is linked with).
 
+    Sets are of distinct shingles of ``words`` words; two are linked if 100 * intersection >= ``threshold`` * union, with a threshold from 1 to 99.
     Null and empty texts have an empty set and are linked with nothing. Null ids are never smallest: rows without an id have their component's, or null.
     Repeated rows are linked, as equal sets are. Other columns are not read; an empty table gives no rows.
     """
+    if words < 1 or not 1 <= threshold <= 99:
+        raise ValueError("words must be positive, and the threshold from 1 to 99")
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    described = materialize(rows.mapInArrow(_describe, "doc_id long, n long, class long, lists array<bigint>"), "sets")
+    described = materialize(rows.mapInArrow(_describe(words, threshold), "doc_id long, n long, class long, lists array<bigint>"), "sets")
     entries = described.where("lists is not null").select(F.explode("lists").alias("list"), "class")
     shared = materialize(entries.groupBy("list").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").drop("high"), "lists")
     release(spark)
@@ -248,10 +265,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     sized = maybe.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     likely = maybe.join(sized, "root").join(classes, maybe["node"] == classes["class"])
     likely = likely.select("class", F.col("first").alias("doc_id"), "copies", F.col("root").alias("comp"), "blocks", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"))
-    sets = rows.join(likely, "doc_id").mapInArrow(_tokens, "doc_id long, class long, copies long, comp long, blocks int, block int, tokens binary")
+    sets = rows.join(likely, "doc_id").mapInArrow(_tokens(words), "doc_id long, class long, copies long, comp long, blocks int, block int, tokens binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiled = sets.withColumn("other", other).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "block", "copies", "tokens")
-    verified = materialize(tiled.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_tiles, "a long, b long, w long"), "links")
+    verified = materialize(tiled.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_tiles(threshold), "a long, b long, w long"), "links")
     release(spark)
     roots = components(verified.where("b is not null").select("a", "b"))
     weights = verified.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("w").alias("w"))
@@ -266,9 +283,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return result.withColumnRenamed("doc_id", doc_id)
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay, whole and with their own columns: of each component the row with the smallest id, once."""
-    kept = join(docs, doc_id, text).where(F.col("component_id").eqNullSafe(F.col(doc_id))).select(F.col(doc_id).alias("__keep")).distinct()
+    kept = join(docs, doc_id, text, words, threshold).where(F.col("component_id").eqNullSafe(F.col(doc_id))).select(F.col(doc_id).alias("__keep")).distinct()
     rows = docs.join(kept, F.col(f"`{doc_id}`").eqNullSafe(F.col("__keep")), "left_semi")
     same = Window.partitionBy(F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`"))).orderBy(F.lit(0))
     return rows.withColumn("__copy", F.row_number().over(same)).where("__copy = 1").drop("__copy")

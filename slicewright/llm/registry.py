@@ -37,7 +37,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents"))
+    return jaccard_join.join(table(spark, sf_dir, "documents"), words=3, threshold=90)
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

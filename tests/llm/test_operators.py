@@ -95,12 +95,12 @@ def test_quality_rules(docs, empty):
 # ---- shingle join ----
 
 
-def plain_join(rows):
+def plain_join(rows, size=jaccard_join.WORDS, threshold=jaccard_join.THRESHOLD):
     sets = []
     for _, t in rows:
         w = words(lower(t))
-        sets.append(frozenset(tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))) if w else frozenset())
-    link = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 90 * len(a | b)
+        sets.append(frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset())
+    link = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= threshold * len(a | b)
     label = list(range(len(rows)))
     changed = True
     while changed:
@@ -140,15 +140,25 @@ def test_shingle_join(spark, docs, empty, monkeypatch):
     assert kept.where("doc_id = 9").count() == 1
 
 
-def test_linked_sets_share_a_list():
+@pytest.mark.parametrize(("size", "threshold"), [(3, 90), (2, 60)])
+def test_shingle_join_of_other_sizes(spark, docs, size, threshold):
+    assert sorted((tuple(r) for r in jaccard_join.join(docs, words=size, threshold=threshold).collect()), key=first) == plain_join(TEXTS, size, threshold)
+    rows = near_copies()
+    assert sorted((tuple(r) for r in jaccard_join.join(table(spark, rows), words=size, threshold=threshold).collect()), key=first) == plain_join(rows, size, threshold)
+    with pytest.raises(ValueError, match="threshold"):
+        jaccard_join.join(docs, threshold=100)
+
+
+@pytest.mark.parametrize(("threshold", "gone", "new"), [(90, 0.04, 20), (80, 0.1, 10), (60, 0.2, 4)])
+def test_linked_sets_share_a_list(threshold, gone, new):
     r = np.random.default_rng(3)
     for _ in range(300):
         n = int(r.integers(1, 200))
         a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
-        b = np.unique(np.append(a[r.random(len(a)) > 0.04], r.integers(0, 1 << 63, int(r.integers(0, 1 + n // 20))).astype(np.uint64)))
+        b = np.unique(np.append(a[r.random(len(a)) > gone], r.integers(0, 1 << 63, int(r.integers(0, 1 + n // new))).astype(np.uint64)))
         inter = len(np.intersect1d(a, b))
-        if len(b) and not np.array_equal(a, b) and 100 * inter >= 90 * (len(a) + len(b) - inter):
-            assert len(np.intersect1d(jaccard_join.signatures(a), jaccard_join.signatures(b)))
+        if len(b) and not np.array_equal(a, b) and 100 * inter >= threshold * (len(a) + len(b) - inter):
+            assert len(np.intersect1d(jaccard_join.signatures(a, threshold), jaccard_join.signatures(b, threshold)))
 
 
 def test_components(spark):
