@@ -44,7 +44,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     store = token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
-    rows = materialize(token_store.read(store).drop("ids"), "read_back")
+    rows = materialize(token_store.read(store, ids=False), "read_back")
     store.drop()
     return rows
 

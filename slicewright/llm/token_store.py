@@ -21,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -33,8 +34,8 @@ from slicewright.session import drop_materialized, materialize, release
 
 END_ID = 0
 WINDOW, AVERAGE, LEAST, MOST = 16, 512, 128, 4096
-#: Entries of each worker's word cache, after which it starts anew: a bound on memory.
-CACHE_WORDS = 1_200_000
+#: Entries of a worker's word cache, a bound on its memory: of two halves the older one goes when the newer one is full.
+CACHE_WORDS = 1_600_000
 
 _STREAM = "kind string, key binary, doc_id long, n_tokens long, ids_crc32 long, digests array<binary>, payload binary"
 _PLACED = "doc_id long, local_start long, n_tokens long, ids_crc32 long, digests array<binary>, part int, block int, block_root binary"
@@ -63,10 +64,18 @@ class Encoder:
         self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
         self.leads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _older(self, wanted: set[str]) -> list[str]:
+        """Take words that the older half of the cache has into the newer one; which ones these were."""
+        found = [w for w in wanted if w in self.old] if self.old else []
+        for w in found:
+            self.words[w] = self.old[w]
+        return found
+
     def _learn(self, new: set[str]) -> None:
         led = [w for w in new if w[:1] == " "]
         for at in range(0, len(led), 2000):
@@ -84,14 +93,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian uint32 bytes."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+        if 2 * len(self.words) > CACHE_WORDS:
+            self.old, self.words = self.words, {}
         cut = [t.replace(" ", "\0 ").split("\0") if single_spaced(t) else None for t in texts]
-        self._learn(set(chain.from_iterable(pieces for pieces in cut if pieces)).difference(self.words))
+        new = set(chain.from_iterable(pieces for pieces in cut if pieces)).difference(self.words)
+        new.difference_update(self._older(new))
+        self._learn(new)
         whole = iter(self._whole([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
         return [next(whole).tobytes() if pieces is None else b"".join(map(self.words.__getitem__, pieces)) for pieces in cut]
 
 
+@lru_cache(maxsize=1)
+def _worker_encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process. It only remembers what words encode to, so nothing depends on the tasks before."""
+    return Encoder(path)
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """The ends of the chunks of one id stream; the last is its length."""
     n = len(ids)
@@ -120,7 +137,7 @@ def _digest(data: bytes) -> bytes:
 
 def _stream(tokenizer_path: str, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, count, part = Encoder(tokenizer_path), set(), 0, TaskContext.get().partitionId()
+        encoder, seen, count, part = _worker_encoder(tokenizer_path), set(), 0, TaskContext.get().partitionId()
         schema = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("digests", pa.list_(pa.binary())), ("payload", pa.binary())])
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
@@ -218,19 +235,21 @@ def write(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: st
     return Store(name, final, _root(final), wide)
 
 
-def _assemble(wide: bool):
+def _assemble(wide: bool, with_ids: bool):
     kind = "<u4" if wide else "<u2"
 
     def finish(head: tuple, data: list[bytes]) -> tuple:
         start, doc_id, n, crc = head
         ids = np.frombuffer(b"".join(data), kind).astype("<u4").tobytes()
-        if len(ids) != 4 * n or zlib.crc32(ids) != crc:
+        found = len(ids) // 4, zlib.crc32(ids)
+        if found != (n, crc):
             raise ValueError(f"document {doc_id} at {start} does not match its recipe")
-        return doc_id, start, n, crc, ids
+        return (doc_id, start, *found, ids)[: 4 + with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, data, done, size = None, [], [], 0
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+        fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]
+        schema = pa.schema(fields if with_ids else fields[:-1])
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), schema.types, strict=True)], schema=schema)
@@ -241,7 +260,7 @@ def _assemble(wide: bool):
                     raise ValueError(f"chunk {digest.hex()} is missing or does not match its address")
                 if head and own[0] != head[0]:
                     done.append(finish(head, data))
-                    size += len(done[-1][-1])
+                    size += len(done[-1][-1]) if with_ids else 40
                     data = []
                     if size > 8_000_000:
                         yield flush()
@@ -256,12 +275,12 @@ def _assemble(wide: bool):
     return run
 
 
-def read(store: Store) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids (uint32 little-endian bytes), rebuilt from the stored chunks and verified."""
+def read(store: Store, ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and ids (uint32 little-endian bytes), rebuilt from the stored chunks and verified; without the last column if ``ids`` is false."""
     spark = store.recipes.sparkSession
     if _root(store.recipes) != store.root:
         raise ValueError("the recipes do not match the manifest")
     refs = store.recipes.select("start", "doc_id", "n_tokens", "ids_crc32", F.posexplode("digests").alias("ix", "digest"))
     chunks = spark.table(store.name).where("kind = 'chunk'").select(F.col("key"), "payload")
     whole = refs.join(chunks, refs["digest"] == chunks["key"], "left").select("start", "ix", "doc_id", "n_tokens", "ids_crc32", "digest", "payload")
-    return whole.repartition("start").sortWithinPartitions("start", "ix").mapInArrow(_assemble(store.wide), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return whole.repartition("start").sortWithinPartitions("start", "ix").mapInArrow(_assemble(store.wide, ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)

@@ -355,6 +355,8 @@ def test_token_store(docs, empty):
     assert [r[0] for r in got] == [None, *sorted(i for i, _ in TEXTS if i is not None)]
     chunks = store.recipes.sparkSession.table(store.name).where("kind = 'chunk'")
     assert chunks.count() == chunks.select("key").distinct().count()
+    plainer = token_store.read(store, ids=False)
+    assert sorted(tuple(r) for r in plainer.select("start", "n_tokens", "ids_crc32").collect()) == [r[1:4] for r in got]
     store.root = "0" * 64
     with pytest.raises(ValueError, match="manifest"):
         token_store.read(store)
@@ -364,11 +366,16 @@ def test_token_store(docs, empty):
     nothing.drop()
 
 
-def test_encoder_cuts_as_the_tokenizer_does():
+def test_encoder_cuts_as_the_tokenizer_does(monkeypatch):
     tokenizers = pytest.importorskip("public_tokenizers")
     encoder = token_store.Encoder(tokenizers.path("byte_bpe_50k.json"))
-    texts = ["a  b", "x\ty z \n q", " lead", "tail ", "é  x", "Ġ Ġa b", "it's don't 12 3,4", "", "one\nline two", " x y", "nul\0 x"]
-    assert encoder.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts = ["a  b", "x\ty z \n q", " lead", "tail ", "é  x", "Ġ Ġa b", "it's don't 12 3,4", "", "one\nline two", " x y", "nul\0 x", "so, so: (so) é! naïve.\nThe end.. don't, x,'s y'", "a \u0378. b ǿ; \U0001e900, \ua7da. z", "p <|endoftext|>. q"]
+    wanted = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == wanted
+    monkeypatch.setattr(token_store, "CACHE_WORDS", 4)  # halves go at every call
+    for _ in range(3):
+        assert [encoder.encode([t])[0] for t in texts] == wanted
+        assert encoder.encode(texts) == wanted
 
 
 # ---- html ----
