@@ -26,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ END_ID = 0
 WINDOW, AVERAGE, LEAST, MOST = 16, 512, 128, 4096
 #: Entries of a worker's word cache, a bound on its memory: of two halves the older one goes when the newer one is full.
 CACHE_WORDS = 1_600_000
+#: Characters of the texts whose words are numbered together; a longer text is a group of its own.
+GROUP_CHARS = 8_000_000
 
 _STREAM = "kind string, key binary, doc_id long, n_tokens long, ids_crc32 long, digests array<binary>, payload binary"
 _PLACED = "doc_id long, local_start long, n_tokens long, ids_crc32 long, digests array<binary>, part int, block int, block_root binary"
@@ -51,8 +54,9 @@ class Encoder:
     """Encodes texts, each distinct space-led word once while it stays in the cache.
 
     The byte-level pattern never joins a word to the single space that follows it, so a text without other white
-    space beside a space can be cut before each space; other texts are encoded whole. New words are encoded many at a time: only
-    the first token of a space-led word starts with the vocabulary's sign for a space, which tells the words apart again.
+    space beside a space can be cut before each space; other texts are encoded whole. A group of texts is cut and its words are numbered by
+    Arrow; only distinct words are looked up, and the ids are put together by their numbers. New words are encoded many at a time:
+    only the first token of a space-led word starts with the vocabulary's sign for a space, which tells the words apart again.
     """
 
     def __init__(self, path: str):
@@ -63,44 +67,87 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
         self.leads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # ids of the words, each with a space before it
         self.old: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _older(self, wanted: set[str]) -> list[str]:
-        """Take words that the older half of the cache has into the newer one; which ones these were."""
-        found = [w for w in wanted if w in self.old] if self.old else []
-        for w in found:
-            self.words[w] = self.old[w]
-        return found
-
-    def _learn(self, new: set[str]) -> None:
-        led = [w for w in new if w[:1] == " "]
-        for at in range(0, len(led), 2000):
-            words = led[at : at + 2000]
-            ids = self._whole(["".join(words)])[0]
-            ends = [*(4 * np.flatnonzero(self.leads[ids])[1:]).tolist(), 4 * len(ids)]
+    def _learn(self, new: list[str]) -> None:
+        for at in range(0, len(new), 2000):
+            words = new[at : at + 2000]
+            data = self._whole([" " + " ".join(words)])[0]
+            ends = [*(4 * np.flatnonzero(self.leads[np.frombuffer(data, "<u4")])[1:]).tolist(), len(data)]
             if len(ends) != len(words):
                 raise ValueError("words do not come apart: the vocabulary is not byte-level")
-            data, last = ids.tobytes(), 0
+            last = 0
             for word, end in zip(words, ends, strict=True):
                 self.words[word] = data[last:end]
                 last = end
-        first = [w for w in new if w[:1] != " "]
-        self.words.update(zip(first, (x.tobytes() for x in self._whole(first)), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian uint32 bytes."""
+    def _led(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words with a space before each."""
         if 2 * len(self.words) > CACHE_WORDS:
             self.old, self.words = self.words, {}
-        cut = [t.replace(" ", "\0 ").split("\0") if single_spaced(t) else None for t in texts]
-        new = set(chain.from_iterable(pieces for pieces in cut if pieces)).difference(self.words)
-        new.difference_update(self._older(new))
-        self._learn(new)
-        whole = iter(self._whole([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
-        return [next(whole).tobytes() if pieces is None else b"".join(map(self.words.__getitem__, pieces)) for pieces in cut]
+        found = list(map(self.words.get, words))
+        lacking = [k for k, ids in enumerate(found) if ids is None]
+        if self.old:
+            for k in lacking:
+                ids = self.old.get(words[k])
+                if ids is not None:
+                    self.words[words[k]] = ids
+        self._learn([words[k] for k in lacking if words[k] not in self.words])
+        for k in lacking:
+            found[k] = self.words[words[k]]
+        return found
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        """The ids of single-spaced texts."""
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        starts, coded = lists.offsets.to_numpy().astype(np.int64), lists.flatten().dictionary_encode()
+        word = coded.indices.to_numpy()
+        led = np.ones(len(word), bool)
+        led[starts[:-1]] = False  # the first word of a text has no space before it
+        used = np.zeros(len(coded.dictionary), bool)
+        used[word[led]] = True
+        parts = self._led(coded.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist())
+        number = np.cumsum(used, dtype=np.int32) - 1
+        word = number[word]
+        word[starts[:-1]] = len(parts) + np.arange(len(texts))
+        parts += self._whole([t.partition(" ")[0] for t in texts])
+        size = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
+        n = size[word]
+        before = np.zeros(len(n) + 1, np.int32)  # a group has far fewer than 2^31 ids
+        np.cumsum(n, out=before[1:])
+        begin = (np.cumsum(size, dtype=np.int32) - size)[word] - before[:-1]
+        at = np.repeat(begin, n)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = np.frombuffer(b"".join(parts), "<u4")[at]
+        ends = before[starts].tolist()
+        return [ids[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids as little-endian uint32 bytes."""
+        out: list[bytes] = [b""] * len(texts)
+        group, chars = [], 0
+
+        def finish() -> None:
+            for k, ids in zip(group, self._by_words([texts[k] for k in group]), strict=True):
+                out[k] = ids
+            group.clear()
+
+        for k, text in enumerate(texts):
+            if not single_spaced(text):
+                out[k] = self._whole([text])[0]
+                continue
+            if group and chars + len(text) > GROUP_CHARS:
+                finish()
+                chars = 0
+            group.append(k)
+            chars += len(text)
+        if group:
+            finish()
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -141,8 +188,8 @@ def _stream(tokenizer_path: str, wide: bool):
         schema = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("digests", pa.list_(pa.binary())), ("payload", pa.binary())])
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 2048):
+                piece = batch.slice(at, 2048)
                 rows = []
                 for doc_id, ids in zip(piece.column(0).to_pylist(), encoder.encode([t or "" for t in piece.column(1).to_pylist()]), strict=True):
                     ids += end

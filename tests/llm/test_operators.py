@@ -372,6 +372,9 @@ def test_encoder_cuts_as_the_tokenizer_does(monkeypatch):
     texts = ["a  b", "x\ty z \n q", " lead", "tail ", "é  x", "Ġ Ġa b", "it's don't 12 3,4", "", "one\nline two", " x y", "nul\0 x", "so, so: (so) é! naïve.\nThe end.. don't, x,'s y'", "a \u0378. b ǿ; \U0001e900, \ua7da. z", "p <|endoftext|>. q"]
     wanted = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert encoder.encode(texts) == wanted
+    assert encoder.encode([]) == []
+    monkeypatch.setattr(token_store, "GROUP_CHARS", 9)
+    assert encoder.encode(texts) == wanted
     monkeypatch.setattr(token_store, "CACHE_WORDS", 4)  # halves go at every call
     for _ in range(3):
         assert [encoder.encode([t])[0] for t in texts] == wanted
