@@ -1,10 +1,10 @@
 """Exact n-gram Jaccard self-join with set-relation skipping; documents linked at a threshold form components.
 
 1. Each document becomes its set of hashed shingles. Equal sets form one class; only classes go on.
-2. Candidates: a set is cut by hash position into as many parts, and one more, than two linked sets of its size can differ in tokens, so
-   linked sets share at least one part that is not empty (sets with two empty parts list those too). Index lists are kept by
+2. Candidates: a set is cut by hash position into somewhat more parts than two linked sets of its size can differ in tokens, so
+   linked sets share several parts; it is known for each set how many at least. Index lists are kept by
    size block and position of the part: a list is only met by sets of its own block and the one below, all others are skipped unread.
-   Each list links its members to its smallest one, and the components of these links are what may be linked at all.
+   Sets in too few shared lists are left out. Each list links the others to its smallest one, and the components of these links are what may be linked at all.
 3. Verification, in tiles of at most ``BLOCK`` x ``BLOCK`` classes of one component: inverted lists ordered by set size, of which only the
    stretch that the size bound allows is read; a set whose rare tokens meet nothing stops at its prefix; and the overlaps
    of a set that is like the one before it are derived from that one's overlaps by the lists of the tokens in which they differ.
@@ -30,6 +30,8 @@ from slicewright.session import drop_materialized, materialize, release
 #: Words of a shingle, and the threshold: linked if 100 * intersection >= THRESHOLD * union.
 WORDS, THRESHOLD = 5, 80
 BLOCK = 512
+#: How often classes with too few shared lists are left out; any number gives the same links.
+ROUNDS = 2
 CACHE_WORDS = 300_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -87,26 +89,37 @@ def differing(high: int, threshold: int = THRESHOLD) -> int:
     return 2 * high * (100 - threshold) // (100 + threshold)
 
 
-def signatures(tokens: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
-    """The index lists that a set is in: a hash of size block, position and content of each part, for its block and the next."""
+def signatures(tokens: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, int, int, int]:
+    """The index lists that a set is in, how many of them are of its own block, and how many of its own and of the next block a linked set has too.
+
+    A list is a hash of size block, position and content of a part. Two sets that are linked differ in at most as many parts as in tokens, so a set
+    with fewer empty parts than must be equal need not list those: what is left of the equal ones has content.
+    """
     if not len(tokens):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), 0, 1, 1
     blocks, lows = _blocks(threshold)
-    own, out = int(np.searchsorted(lows, len(tokens), side="right")) - 1, []
+    n = len(tokens)
+    own, out, needs = int(np.searchsorted(lows, n, side="right")) - 1, [], []
     mixed = _mixed(tokens)
     for block in (own, own + 1):
-        most = differing(blocks[block][1], threshold)
-        if not most:
-            continue  # only equal sets are linked at such sizes
-        parts = most + 2
+        high = blocks[block][1]
+        most = differing(high, threshold)
+        if not most:  # only equal sets are linked at such sizes
+            out.append(np.zeros(0, np.uint64))
+            needs.append(1)
+            continue
+        parts = most + 2 + most // 8
         place = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as the tokens are
         starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         sums, at = np.add.reduceat(mixed, starts), place[starts]
-        if parts - len(at) >= 2:
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), at)
-            sums, at = np.concatenate([sums, np.zeros(len(empty), np.uint64)]), np.concatenate([at, empty])
+        empty = parts - len(at)
+        equal = parts - (n + min(100 * n // threshold, high)) * (100 - threshold) // (100 + threshold)  # parts at least
+        if empty >= equal:
+            gaps = np.setdiff1d(np.arange(parts, dtype=np.uint64), at)
+            sums, at = np.concatenate([sums, np.zeros(len(gaps), np.uint64)]), np.concatenate([at, gaps])
+        needs.append(max(1, equal - empty))
         out.append(_mixed(sums ^ _mixed(at + np.uint64(block << 32))))
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+    return np.concatenate(out).view(np.int64), len(out[0]), *needs
 
 
 def class_of(tokens: np.ndarray) -> int | None:
@@ -119,15 +132,18 @@ def _describe(words: int, threshold: int) -> Callable[[Iterator[pa.RecordBatch]]
         shingler, seen = Shingler(words), set()
         for batch in batches:
             sizes, classes, lists = [], [], []
+            needs: list[tuple[int, int, int]] = []
             for text in batch.column(1).to_pylist():
                 tokens = shingler(text)
                 sizes.append(len(tokens))
                 classes.append(class_of(tokens))
                 if len(seen) > 2_000_000:
                     seen.clear()
-                lists.append(None if classes[-1] in seen else signatures(tokens, threshold))  # a task lists a class once
+                found = (None, 0, 1, 1) if classes[-1] in seen else signatures(tokens, threshold)  # a task lists a class once
+                lists.append(found[0])
+                needs.append(found[1:])
                 seen.add(classes[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "n", "class", "lists"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(lists, pa.list_(pa.int64())), *(pa.array([x[k] for x in needs], pa.int32()) for k in range(3))], names=["doc_id", "n", "class", "lists", "own", "need_own", "need_next"])
 
     return run
 
@@ -243,6 +259,22 @@ def _tokens(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
+def _likely(hits: DataFrame, described: DataFrame) -> DataFrame:
+    """Edges (a, b) from each shared list's smallest class to the others, without classes that are in too few shared lists of a block to be linked with any."""
+    needs = described.where("lists is not null").select("class", "need_own", "need_next").distinct()
+    hits = materialize(hits, "hits")
+    for _ in range(ROUNDS):
+        enough = hits.groupBy("class", "next").agg(F.count(F.lit(1)).alias("c")).join(needs, "class")
+        enough = enough.where(F.col("c") >= F.when(F.col("next"), F.col("need_next")).otherwise(F.col("need_own"))).select("class", "next")
+        left = materialize(hits.join(enough, ["class", "next"]), "left")
+        lows = left.groupBy("list").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").drop("high")
+        kept = materialize(left.drop("low").join(lows, "list"), "hits")
+        drop_materialized(hits)
+        drop_materialized(left)
+        hits = kept
+    return hits.select(F.col("low").alias("a"), F.col("class").alias("b"))
+
+
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links), n_links (other rows it is linked with).
 
@@ -254,11 +286,11 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
         raise ValueError("words must be positive, and the threshold from 1 to 99")
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    described = materialize(rows.mapInArrow(_describe(words, threshold), "doc_id long, n long, class long, lists array<bigint>"), "sets")
-    entries = described.where("lists is not null").select(F.explode("lists").alias("list"), "class")
+    described = materialize(rows.mapInArrow(_describe(words, threshold), "doc_id long, n long, class long, lists array<bigint>, own int, need_own int, need_next int"), "sets")
+    entries = described.where("lists is not null").select(F.posexplode("lists").alias("at", "list"), "class", "own").select("list", "class", (F.col("at") >= F.col("own")).alias("next"))
     shared = materialize(entries.groupBy("list").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").drop("high"), "lists")
     release(spark)
-    maybe = materialize(components(entries.join(shared, "list").select(F.col("low").alias("a"), F.col("class").alias("b"))), "maybe")
+    maybe = materialize(components(_likely(entries.join(shared, "list").select("list", "class", "next").distinct(), described)), "maybe")
     release(spark)
     classes = described.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "classes")
