@@ -288,7 +288,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     described = materialize(rows.mapInArrow(_describe(words, threshold), "doc_id long, n long, class long, lists array<bigint>, own int, need_own int, need_next int"), "sets")
     entries = described.where("lists is not null").select(F.posexplode("lists").alias("at", "list"), "class", "own").select("list", "class", (F.col("at") >= F.col("own")).alias("next"))
-    shared = materialize(entries.groupBy("list").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").drop("high"), "lists")
+    # a count is less to shuffle than the classes are; lists that several tasks sent for one class are left out later
+    shared = materialize(entries.groupBy("list").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("list"), "lists")
     release(spark)
     maybe = materialize(components(_likely(entries.join(shared, "list").select("list", "class", "next").distinct(), described)), "maybe")
     release(spark)
