@@ -1,6 +1,7 @@
 """Removal of repeated passages with two-stage suffix sorting.
 
-A byte goes if a string of ``LENGTH`` bytes over it also starts earlier: in a smaller doc_id, or before in the same document.
+A byte goes if a string of ``LENGTH`` bytes over it also starts earlier: in a smaller doc_id, or before in the same document. A document is an id with its text,
+known by a digest of 128 bits; different texts of one id are documents of their own, in the order of their digests, and rows of equal id and text are one.
 
 1. Equal texts: all but the first go whole, so copies of documents take no further part.
 2. Anchors: of the ``GRAM``-byte hashes that start in any ``LENGTH``-byte string the least ones are anchors, so equal strings have equal anchors at equal places.
@@ -200,8 +201,8 @@ def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch.drop_columns(["text"]).append_column("anchors", pa.array(lists, pa.list_(pa.int64())))
 
 
-_ROUND = "doc long, start int, stop int, anchor long, left int, piece binary"
-_ROUND_SCHEMA = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("anchor", pa.int64()), ("left", pa.int32()), ("piece", pa.binary())])
+_ROUND = "doc long, digest binary, start int, stop int, anchor long, left int, piece binary"
+_ROUND_SCHEMA = pa.schema([("doc", pa.int64()), ("digest", pa.binary()), ("start", pa.int32()), ("stop", pa.int32()), ("anchor", pa.int64()), ("left", pa.int32()), ("piece", pa.binary())])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -212,7 +213,7 @@ def _surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each repeated anchor its surroundings, or only the stretch if this task has had equal ones from an earlier place."""
     powers, seen, rows, size = Powers(), {}, [], 0
     for batch in batches:
-        for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "wanted")), strict=True):
+        for doc, digest, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "digest", "text", "wanted")), strict=True):
             data = (text or "").encode()
             found = anchors(data, powers)
             chosen = np.isin(found[1], np.array(wanted, np.int64))
@@ -220,12 +221,15 @@ def _surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 stop = last + LENGTH
                 piece = data[start:stop]
                 key = (anchor, place - start, hashlib.blake2b(piece, digest_size=16).digest())
-                at = (doc, start)
-                if seen.setdefault(key, at) < at:
-                    rows.append((doc, start, stop, None, None, None))
+                at = (doc, digest, start)
+                before = seen.get(key)
+                if before == at:  # the same document in another row
+                    continue
+                if before is not None and before < at:
+                    rows.append((*at, stop, None, None, None))
                 else:
                     seen[key] = at
-                    rows.append((doc, start, stop, anchor, place - start, piece))
+                    rows.append((*at, stop, anchor, place - start, piece))
                     size += len(piece)
             if len(seen) > 300_000:
                 seen.clear()
@@ -237,46 +241,47 @@ def _surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor, left, piece, doc and start: the repeated stretches."""
-    anchor, same, group, block, size, out = None, None, [], [], 0, []
+    """Rows sorted by anchor, left, piece, doc, digest and start: the repeated stretches."""
+    anchor, same, place, group, block, size, out = None, None, None, [], [], 0, []
     half = (LENGTH - GRAM) // 2
 
     def close() -> None:
         """Equal strings around an anchor go on for ``half`` bytes to the left or to the right of it, so others need no sorting."""
         nonlocal size
         if len(group) > 1:
-            sides = [(piece[left - half : left] if left >= half else None, piece[left + GRAM : left + GRAM + half] if len(piece) >= left + GRAM + half else None) for _, _, piece, left in group]
+            sides = [(piece[left - half : left] if left >= half else None, piece[left + GRAM : left + GRAM + half] if len(piece) >= left + GRAM + half else None) for _, _, _, piece, left in group]
             before, after = Counter(x for x, _ in sides), Counter(y for _, y in sides)
-            for (doc, start, piece, _), (x, y) in zip(group, sides, strict=True):
+            for (doc, digest, start, piece, _), (x, y) in zip(group, sides, strict=True):
                 if x is not None and before[x] > 1 or y is not None and after[y] > 1:
-                    block.append((doc, start, piece))
+                    block.append((doc, digest, start, piece))
                     size += len(piece)
         group.clear()
 
     def solve() -> None:
         nonlocal size
-        for (doc, start, _), found in zip(block, repeats([b[2] for b in block], [(b[0], b[1]) for b in block]), strict=True):
-            out.extend((doc, start + lo, start + hi) for lo, hi in found)
+        number = {x: k for k, x in enumerate(sorted({b[:2] for b in block}))}
+        for (doc, digest, start, _), found in zip(block, repeats([b[3] for b in block], [(number[b[:2]], b[2]) for b in block]), strict=True):
+            out.extend((doc, digest, start + lo, start + hi) for lo, hi in found)
         block.clear()
         size = 0
 
     def flush() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        cols = list(zip(*out, strict=True)) or [()] * 4
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc", "start", "stop"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["doc", "digest", "start", "stop"])
 
     for batch in batches:
-        for doc, start, stop, a, left, piece in zip(*(batch.column(c).to_pylist() for c in ("doc", "start", "stop", "anchor", "left", "piece")), strict=True):
+        for doc, digest, start, stop, a, left, piece in zip(*(batch.column(c).to_pylist() for c in ("doc", "digest", "start", "stop", "anchor", "left", "piece")), strict=True):
             if a != anchor:
                 close()
                 if size > BLOCK_BYTES:
                     solve()
                 anchor, same = a, None
-            if (left, piece) == same:
-                out.append((doc, start, stop))
-            else:
-                same = (left, piece)
-                group.append((doc, start, piece, left))
+            if (left, piece) != same:
+                same, place = (left, piece), (doc, digest, start)
+                group.append((*place, piece, left))
+            elif (doc, digest, start) != place:  # later; the same place may come from several rows
+                out.append((doc, digest, start, stop))
         if len(out) > 50_000:
             yield flush()
     close()
@@ -306,31 +311,38 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, (*[pa.int64()] * 4, pa.string()), strict=True)], names=names)
 
 
+def _documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, doc, digest, text: null ids come first, null texts are empty; ``doc`` and ``digest`` together are a document."""
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    digest = F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32))
+    return rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), digest.alias("digest"), "text")
+
+
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(row, whole) for documents that equal an earlier one, and (row, stretches) for others with repeats; ``row`` numbers an id with its text.
-
-    Null texts are empty, null ids come first. Rows that repeat an id and its text are one document, and are cut alike.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    long = rows.where(F.octet_length("text") >= LENGTH)
-    narrow = materialize(long.select("doc", F.sha2(F.col("text").cast("binary"), 256).alias("digest")), "digests")
+    """(doc, digest) of documents that equal an earlier one, and (doc, digest, stretches) of others with repeats, as :func:`_documents` names them."""
+    spark, document = docs.sparkSession, ["doc", "digest"]
+    long = _documents(docs, doc_id, text).where(F.octet_length("text") >= LENGTH).drop("doc_id")
+    narrow = materialize(long.select(*document), "digests")
     firsts = narrow.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    whole = materialize(narrow.join(firsts, "digest").where("doc > first").select("doc", "digest").distinct(), "whole")
-    listed = materialize(long.mapInArrow(_list_anchors, "doc long, anchors array<bigint>"), "anchors")
-    singles = listed.join(whole.select("doc").distinct(), "doc", "left_anti")
-    each = singles.select("doc", F.explode("anchors").alias("anchor"))
+    copies = narrow.join(firsts, "digest")
+    whole = materialize(copies.where("doc > first").select(*document).distinct(), "whole")
+    twins = materialize(copies.where("doc = first").groupBy(*document).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twins")
+    listed = materialize(long.mapInArrow(_list_anchors, "doc long, digest binary, anchors array<bigint>"), "anchors")
+    singles = listed.join(whole, document, "left_anti")
+    singles = singles.join(twins, document, "left_anti").unionByName(singles.join(twins, document, "left_semi").dropDuplicates(document))
+    # anchors are gathered by a hash of the document: if two share one, both only look at more anchors
+    each = singles.select(F.xxhash64(*document).alias("key"), F.explode("anchors").alias("anchor"))
     often = materialize(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "often")
     release(spark)
-    wanted = materialize(each.join(often, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("wanted")), "wanted")
+    wanted = materialize(each.join(often, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("wanted")), "wanted")
     release(spark)
-    around = materialize(long.join(wanted, "doc").mapInArrow(_surround, _ROUND), "around")
+    around = materialize(long.withColumn("key", F.xxhash64(*document)).join(wanted, "key").mapInArrow(_surround, _ROUND), "around")
     release(spark)
     pieces = around.where("anchor is not null")
-    compared = pieces.repartition("anchor").sortWithinPartitions("anchor", "left", "piece", "doc", "start").mapInArrow(_compare, "doc long, start int, stop int")
-    known = around.where("anchor is null").select("doc", "start", "stop")
-    stretches = materialize(compared.unionAll(known).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("stretches")), "stretches")
-    for used in (narrow, listed, often, wanted, around):
+    compared = pieces.repartition("anchor").sortWithinPartitions("anchor", "left", "piece", "doc", "digest", "start").mapInArrow(_compare, "doc long, digest binary, start int, stop int")
+    known = around.where("anchor is null").select(*document, "start", "stop")
+    stretches = materialize(compared.unionAll(known).groupBy(*document).agg(F.collect_set(F.struct("start", "stop")).alias("stretches")), "stretches")
+    for used in (narrow, twins, listed, often, wanted, around):
         drop_materialized(used)
     release(spark)
     return whole, stretches
@@ -339,7 +351,5 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256. An empty table gives no rows."""
     whole, stretches = spans(docs, doc_id, text)
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    marked = rows.join(whole.select("doc", F.lit(True).alias("whole")).distinct(), "doc", "left").join(stretches, "doc", "left")
+    marked = _documents(docs, doc_id, text).join(whole.withColumn("whole", F.lit(True)), ["doc", "digest"], "left").join(stretches, ["doc", "digest"], "left")
     return marked.select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "stretches").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
