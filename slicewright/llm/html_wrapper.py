@@ -3,16 +3,16 @@
 Each page's token stream becomes a tree of elements; runs of siblings of one shape fold into repeated groups and
 text becomes slots, so a page is already a union-free regular expression. All distinct expressions of a host, counted over all of its
 pages, are then aligned one after the other: what only one side has becomes optional, repeats become groups, and a text that is not
-the same everywhere becomes a slot. From the host's wrapper comes where the article is and which of its texts are
-fixed template; pages that do not follow the wrapper are read by the same rules from their own tree.
+the same everywhere becomes a slot. From the host's wrapper comes where the article is and which of its texts, by their places, are
+fixed template: those that stay while the rest of the article differs between ``FIXED_FROM`` pages, so copies of a page or an article count once; pages that do not follow the wrapper are read by the same rules from their own tree.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +33,7 @@ AWAY_NAMES = re.compile(
     r"(?<![a-z])(?:nav|navbar|navigation|menu|breadcrumbs?|masthead|header|footer|sidebar|aside|ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notice|popup|modal|"
     r"newsletter|subscri\w+|signup|login|share|sharing|social|related|recommend\w*|comments?|replies|reply|respond|disqus|widgets?|toolbar|pagination|pager|complementary|contentinfo|search)(?![a-z])"
 )
+SKIPPED = frozenset(("br", "wbr", "img"))
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -40,15 +41,18 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 DEEPEST = 120
+#: Pages on which the rest of the article differs, from which on a text that never changes is template.
+FIXED_FROM = 5
 
 
 class Node:
     """An element: its label, its children (elements and texts), and what alignment has learnt."""
 
-    __slots__ = ("label", "kids", "often", "chars", "fixed", "pages")
+    __slots__ = ("label", "kids", "often", "chars", "fixed", "seen")
 
     def __init__(self, label: str):
-        self.label, self.kids, self.often, self.chars, self.fixed, self.pages = label, [], "1", 0, None, 1
+        #: ``seen``: digests of what elements hold on different pages, the ``FIXED_FROM`` least ones.
+        self.label, self.kids, self.often, self.chars, self.fixed, self.seen = label, [], "1", 0, None, []
 
 
 def parse(page: str | None) -> Node:
@@ -107,8 +111,9 @@ def generalise(node: Node) -> Node:
             if not text:
                 continue
             new = Node("#text")
-            new.chars, new.fixed = len(text), zlib.crc32(text.encode())
-        elif kid.label.partition(" ")[0] in ("br", "wbr", "img"):
+            new.chars, new.fixed = len(text), checksum(text)
+            new.seen = [new.fixed]
+        elif kid.label.partition(" ")[0] in SKIPPED:
             continue
         else:
             new = generalise(kid)
@@ -116,10 +121,11 @@ def generalise(node: Node) -> Node:
         if last is not None and last.label == new.label:
             out.kids[-1] = merge(last, new)
             out.kids[-1].often = "+"
-            out.kids[-1].pages = 1
+            out.kids[-1].seen = [hash((last.seen[0], new.seen[0]))]  # one page has one content
         else:
             out.kids.append(new)
     out.chars = sum(k.chars for k in out.kids)
+    out.seen = [hash(tuple(k.seen[0] for k in out.kids if not away(k.label, True)))]  # of whole numbers, so alike in all processes
     return out
 
 
@@ -127,10 +133,11 @@ def merge(a: Node, b: Node) -> Node:
     """The least expression here that covers both: aligned children merge, others become optional."""
     out = Node(a.label)
     out.often = a.often if a.often == b.often else "*" if {"*", "?"} & {a.often, b.often} else "+"
-    out.chars, out.pages = a.chars + b.chars, a.pages + b.pages
+    out.chars = a.chars + b.chars
     if a.label == "#text":
         out.fixed = a.fixed if a.fixed == b.fixed else None
         return out
+    out.seen = a.seen if a.seen == b.seen else sorted({*a.seen, *b.seen})[:FIXED_FROM]
     x, y = a.kids, b.kids
     if [k.label for k in x] == [k.label for k in y]:
         out.kids = [merge(p, q) for p, q in zip(x, y, strict=True)]
@@ -162,20 +169,29 @@ def _optional(node: Node) -> Node:
     return node
 
 
+def checksum(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def at_place(place: tuple, fixed: int) -> int:
+    """The checksum of a text together with the labels above it, and which run of that label each is among its siblings."""
+    return checksum(json.dumps([*place, fixed]))
+
+
 def dump(node: Node) -> list:
-    return [node.label, node.often, node.chars, node.fixed, node.pages, [dump(k) for k in node.kids]]
+    return [node.label, node.often, node.chars, node.fixed, node.seen, [dump(k) for k in node.kids]]
 
 
 def load(x: list) -> Node:
     node = Node(x[0])
-    node.often, node.chars, node.fixed, node.pages, node.kids = x[1], x[2], x[3], x[4], [load(k) for k in x[5]]
+    node.often, node.chars, node.fixed, node.seen, node.kids = x[1], x[2], x[3], x[4], [load(k) for k in x[5]]
     return node
 
 
 def expression(node: Node) -> str:
     """The wrapper as text: elements, ``#PCDATA`` slots, and groups with ?, + or *."""
     if node.label == "#text":
-        return "#PCDATA" if node.fixed is None else f"'{node.fixed:08x}'"
+        return "#PCDATA" if node.fixed is None else f"'{node.fixed & (1 << 64) - 1:016x}'"
     inner = f"<{node.label}>" + " ".join(expression(k) for k in node.kids) + f"</{node.label.partition(' ')[0]}>"
     return inner if node.often == "1" else f"({inner}){node.often}"
 
@@ -215,29 +231,40 @@ def size(node: Node | str) -> int:
     return sum(size(k) for k in node.kids if isinstance(k, str) or not away(k.label, True))
 
 
-#: Distinct pages from which on a text that never changes is template.
-FIXED_FROM = 5
-
-
 def template_texts(root: Node, path: list[str]) -> list[int]:
-    """Checksums of the texts in the article that are the same on all pages of the host."""
+    """Checksums, with their places in the article, of the texts that are the same on all of the host's pages.
+
+    Where the article is in a group, or occurs in several places, there are none. If they are half of the article's text or more, the pages are versions of one article.
+    """
     nodes = [root]
-    for label in path:
+    for k, label in enumerate(path):
         nodes = [k for n in nodes for k in n.kids if k.label == label]
+        if len(nodes) != 1 or k < len(path) - 1 and nodes[0].often not in ("1", "?"):
+            return []
+    article = nodes[0]
+    if len(article.seen) < FIXED_FROM or article.often == "*":
+        return []
     fixed: list[int] = []
+    chars = 0
 
-    def look(node: Node, always: bool) -> None:
+    def look(node: Node, place: tuple) -> None:
+        nonlocal chars
+        ranks: dict[str, int] = {}
         for kid in node.kids:
-            sure = always and kid.often == "1"
-            if kid.label == "#text":
-                if sure and kid.fixed is not None and kid.pages >= FIXED_FROM:
-                    fixed.append(kid.fixed)
-            else:
-                look(kid, sure)
+            rank = ranks.setdefault(kid.label, 0)
+            if rank < 0 or kid.often != "1":
+                ranks[kid.label] = -1  # those of this label that follow have no sure rank
+                continue
+            ranks[kid.label] = rank + 1
+            at = (*place, kid.label, rank)
+            if kid.label != "#text":
+                look(kid, at)
+            elif kid.fixed is not None:
+                fixed.append(at_place(at, kid.fixed))
+                chars += kid.chars if not any(away(x, True) for x in at[:-2:2]) else 0
 
-    for n in nodes:
-        look(n, True)
-    return fixed
+    look(article, ())
+    return fixed if 2 * chars < size(article) else []
 
 
 # ---- reading ----
@@ -251,6 +278,7 @@ def extract(page: str | None, path: list[str], fixed: frozenset[int] = frozenset
         nodes = [k for n in nodes for k in n.kids if not isinstance(k, str) and k.label == label]
     if not path or not nodes:
         nodes = [root]
+        fixed = frozenset()
         for label in article_path(root):
             nodes = [k for n in nodes for k in n.kids if not isinstance(k, str) and k.label == label]
     inside = nodes != [root]
@@ -263,20 +291,29 @@ def extract(page: str | None, path: list[str], fixed: frozenset[int] = frozenset
             blocks.append(text)
         run.clear()
 
-    def read(node: Node) -> None:
+    def read(node: Node, place: tuple = ()) -> None:
+        ranks: dict[str, int] = {}
+        last = None
         for kid in node.kids:
+            at = place
+            if fixed:  # siblings count as in an expression: in runs, without blank texts and breaks
+                label, text = ("#text", _SPACE.sub(" ", kid).strip()) if isinstance(kid, str) else (kid.label, "")
+                if (text if label == "#text" else label.partition(" ")[0] not in SKIPPED) and label != last:
+                    ranks[label] = ranks.get(label, -1) + 1
+                    last = label
+                at = (*place, label, ranks.get(label, -1))
             if isinstance(kid, str):
-                if not fixed or zlib.crc32(_SPACE.sub(" ", kid).strip().encode()) not in fixed:
+                if not fixed or not text or at_place(at, checksum(text)) not in fixed:
                     run.append(kid)
             elif not away(kid.label, inside):
                 tag = kid.label.partition(" ")[0]
                 if tag == "br":
                     run.append(" ")
                 elif tag in INLINE:
-                    read(kid)
+                    read(kid, at)
                 else:
                     close()
-                    read(kid)
+                    read(kid, at)
                     close()
 
     for node in nodes:
