@@ -1,6 +1,7 @@
 """Toxicity by a small bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as a hashed word vector beside the mean of its hashed character-trigram vectors. Both directions run over windows of
+A word enters as a hashed word vector beside the mean of its hashed character-trigram vectors; one of more than ``PIECE`` characters enters as
+overlapping pieces, each in a place of its own. Both directions run over windows of
 ``WINDOW`` words that overlap by ``WINDOW - STRIDE``; attention pools the states of a window and a logistic unit scores it. All windows of
 a text are scored, and the text has the score of its worst window. Training sees document labels only: of each document the window that scores
 highest stands for it.
@@ -24,6 +25,8 @@ from slicewright.llm.textcols import crc_mod
 SAMPLE = 6_000
 WINDOW, STRIDE = 40, 34
 WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN = 65536, 16384, 8, 12, 8
+#: Characters of a word, beyond which it is read as pieces, and from one piece's start to the next one's: what is not longer than ``PIECE - STEP`` is whole in some piece.
+PIECE, STEP = 40, 20
 #: Words whose projected inputs a worker keeps, after which it starts anew.
 CACHE_WORDS = 150_000
 TOXIC_AT = 0.5
@@ -32,10 +35,18 @@ MARGIN = 0.12
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, long ones as consecutive overlapping pieces."""
+    words = (text or "").split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[at : at + PIECE] for w in words for at in range(0, max(1, len(w) - PIECE + STEP), STEP)]
+
+
 def word_keys(word: str) -> tuple[int, list[int]]:
     """The row of the word's vector, and those of its character trigrams with edges."""
     plain = word.strip(_EDGE).lower() or word
-    marked = f"<{plain[:40]}>"
+    marked = f"<{plain}>"
     return zlib.crc32(plain.encode()) % WORD_ROWS, [zlib.crc32(marked[i : i + 3].encode()) % CHAR_ROWS for i in range(max(1, len(marked) - 2))]
 
 
@@ -164,7 +175,7 @@ class Reader:
         """The score of each text: its worst window's."""
         if len(self.index) > CACHE_WORDS:
             self._reset()
-        split = [(t or "").split() for t in texts]
+        split = [words_of(t) for t in texts]
         new = list(dict.fromkeys(w for words in split for w in words if w not in self.index))
         if new:
             need = self.used + len(new)
@@ -204,7 +215,7 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 12, seed: int = 7) ->
         net.w["out"][:] = 0
         return net
     vocabulary: dict[str, int] = {}
-    numbered = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in (t or "").split()], np.int64) for t, _ in rows]
+    numbered = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t, _ in rows]
     keys = Keys(vocabulary or [""])
     del vocabulary
     all_rows, all_mask, owner = windows(numbered)
