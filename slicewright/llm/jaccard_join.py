@@ -133,7 +133,7 @@ def _describe(words: int, threshold: int) -> Callable[[Iterator[pa.RecordBatch]]
         for batch in batches:
             sizes, classes, lists = [], [], []
             needs: list[tuple[int, int, int]] = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column("text").to_pylist():
                 tokens = shingler(text)
                 sizes.append(len(tokens))
                 classes.append(class_of(tokens))
@@ -143,7 +143,7 @@ def _describe(words: int, threshold: int) -> Callable[[Iterator[pa.RecordBatch]]
                 lists.append(found[0])
                 needs.append(found[1:])
                 seen.add(classes[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(lists, pa.list_(pa.int64())), *(pa.array([x[k] for x in needs], pa.int32()) for k in range(3))], names=["doc_id", "n", "class", "lists", "own", "need_own", "need_next"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(lists, pa.list_(pa.int64())), *(pa.array([x[k] for x in needs], pa.int32()) for k in range(3))], names=["doc_id", "digest", "n", "class", "lists", "own", "need_own", "need_next"])
 
     return run
 
@@ -249,12 +249,18 @@ def _tiles(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 def _tokens(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler, seen = Shingler(words), set()
         for batch in batches:
-            sets = [shingler(t) for t in batch.column("text").to_pylist()]
-            right = [class_of(s) == c for s, c in zip(sets, batch.column("class").to_pylist(), strict=True)]  # an id may have several texts
-            out = batch.drop_columns(["text"]).append_column("tokens", pa.array([s.tobytes() for s in sets], pa.binary()))
-            yield out.filter(pa.array(right))
+            sets, right = [], []
+            for text, c in zip(batch.column("text").to_pylist(), batch.column("class").to_pylist(), strict=True):
+                tokens = None if c in seen else shingler(text)  # a task sends a class once
+                right.append(tokens is not None and class_of(tokens) == c)  # digests of an id's texts may be equal by chance
+                sets.append(tokens.tobytes() if right[-1] else None)
+                if right[-1]:
+                    if len(seen) > 2_000_000:
+                        seen.clear()
+                    seen.add(c)
+            yield batch.drop_columns(["text"]).append_column("tokens", pa.array(sets, pa.binary())).filter(pa.array(right, pa.bool_()))
 
     return run
 
@@ -275,30 +281,33 @@ def _likely(hits: DataFrame, described: DataFrame) -> DataFrame:
     return hits.select(F.col("low").alias("a"), F.col("class").alias("b"))
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links), n_links (other rows it is linked with).
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return rows.withColumn("digest", F.xxhash64("text"))
 
-    Sets are of distinct shingles of ``words`` words; two are linked if 100 * intersection >= ``threshold`` * union, with a threshold from 1 to 99.
-    Null and empty texts have an empty set and are linked with nothing. Null ids are never smallest: rows without an id have their component's, or null.
-    Repeated rows are linked, as equal sets are. Other columns are not read; an empty table gives no rows.
-    """
+
+def _classes(docs: DataFrame, doc_id: str, text: str, words: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, n, class, ...) for each row, and (class, component_id, n_links, first, digest, stays) for each class: ``first`` and ``digest``, of a text,
+    are of the class's row with the smallest id, null ids last, and the class with the smallest such row of its component stays."""
     if words < 1 or not 1 <= threshold <= 99:
         raise ValueError("words must be positive, and the threshold from 1 to 99")
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    described = materialize(rows.mapInArrow(_describe(words, threshold), "doc_id long, n long, class long, lists array<bigint>, own int, need_own int, need_next int"), "sets")
+    rows = _rows(docs, doc_id, text)
+    described = materialize(rows.mapInArrow(_describe(words, threshold), "doc_id long, digest long, n long, class long, lists array<bigint>, own int, need_own int, need_next int"), "sets")
     entries = described.where("lists is not null").select(F.posexplode("lists").alias("at", "list"), "class", "own").select("list", "class", (F.col("at") >= F.col("own")).alias("next"))
     # a count is less to shuffle than the classes are; lists that several tasks sent for one class are left out later
     shared = materialize(entries.groupBy("list").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("list"), "lists")
     release(spark)
     maybe = materialize(components(_likely(entries.join(shared, "list").select("list", "class", "next").distinct(), described)), "maybe")
     release(spark)
-    classes = described.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes, "classes")
+    lowest_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("low")
+    classes = described.where("class is not null").groupBy("class").agg(lowest_row, F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes.select("class", F.col("low.doc_id").alias("first"), F.col("low.digest").alias("digest"), "copies"), "classes")
     sized = maybe.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     likely = maybe.join(sized, "root").join(classes, maybe["node"] == classes["class"])
-    likely = likely.select("class", F.col("first").alias("doc_id"), "copies", F.col("root").alias("comp"), "blocks", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"))
-    sets = rows.join(likely, "doc_id").mapInArrow(_tokens(words), "doc_id long, class long, copies long, comp long, blocks int, block int, tokens binary")
+    likely = likely.select("class", "first", F.col("digest").alias("of"), "copies", F.col("root").alias("comp"), "blocks", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"))
+    texts = rows.join(likely, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("of"))).drop("doc_id", "digest", "first", "of")
+    sets = texts.mapInArrow(_tokens(words), "class long, copies long, comp long, blocks int, block int, tokens binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiled = sets.withColumn("other", other).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "block", "copies", "tokens")
     verified = materialize(tiled.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_tiles(threshold), "a long, b long, w long"), "links")
@@ -306,19 +315,40 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     roots = components(verified.where("b is not null").select("a", "b"))
     weights = verified.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("w").alias("w"))
     known = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").join(weights, "class", "left")
-    named = known.select("class", F.coalesce("root", "class").alias("root"), "first", (F.col("copies") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"))
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_class = materialize(named.join(lowest, "root").select("class", "component_id", "n_links"), "by_class")
+    named = known.select("class", F.coalesce("root", "class").alias("root"), "first", "digest", (F.col("copies") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"))
+    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"), F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest", "class")).alias("low"))
+    by_class = named.join(lowest, "root").select("class", "component_id", "n_links", "first", "digest", (F.col("low.class") == F.col("class")).alias("stays"))
+    by_class = materialize(by_class, "by_class")
+    for used in (shared, maybe, classes, verified):
+        drop_materialized(used)
+    return described, by_class
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links), n_links (other rows it is linked with).
+
+    Sets are of distinct shingles of ``words`` words; two are linked if 100 * intersection >= ``threshold`` * union, with a threshold from 1 to 99.
+    Null and empty texts have an empty set and are linked with nothing. Null ids are never smallest: rows without an id have their component's, or null.
+    Repeated rows are linked, as equal sets are. Other columns are not read; an empty table gives no rows.
+    """
+    described, by_class = _classes(docs, doc_id, text, words, threshold)
     out = described.select("doc_id", "n", "class").join(by_class, "class", "left")
     result = materialize(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "joined")
-    for used in (described, shared, maybe, classes, verified, by_class):
+    for used in (described, by_class):
         drop_materialized(used)
     return result.withColumnRenamed("doc_id", doc_id)
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stay, whole and with their own columns: of each component the row with the smallest id, once."""
-    kept = join(docs, doc_id, text, words, threshold).where(F.col("component_id").eqNullSafe(F.col(doc_id))).select(F.col(doc_id).alias("__keep")).distinct()
-    rows = docs.join(kept, F.col(f"`{doc_id}`").eqNullSafe(F.col("__keep")), "left_semi")
-    same = Window.partitionBy(F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`"))).orderBy(F.lit(0))
-    return rows.withColumn("__copy", F.row_number().over(same)).where("__copy = 1").drop("__copy")
+    """The rows of ``docs`` that stay, whole and with their own columns: of each component one row, with the smallest id, a null one only if there is no other.
+
+    Of several texts that a component has under that id the one with the smallest hash stays. Rows with an empty set stay; of rows that repeat an id and its text, once.
+    """
+    described, by_class = _classes(docs, doc_id, text, words, threshold)
+    kept = by_class.where("stays").select(F.col("first").alias("__id"), F.col("digest").alias("__digest"))
+    kept = materialize(kept.unionByName(described.where("class is null").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))).distinct(), "kept")
+    for used in (described, by_class):
+        drop_materialized(used)
+    given, hashed = F.col(f"`{doc_id}`").cast("long"), F.xxhash64(F.col(f"`{text}`").cast("string"))
+    rows = docs.join(kept, given.eqNullSafe(F.col("__id")) & (hashed == F.col("__digest")), "left_semi")
+    return rows.withColumn("__copy", F.row_number().over(Window.partitionBy(given, hashed).orderBy(F.lit(0)))).where("__copy = 1").drop("__copy")
