@@ -54,7 +54,8 @@ class Encoder:
     """Encodes texts, each distinct space-led word once while it stays in the cache.
 
     The byte-level pattern never joins a word to the single space that follows it, so a text without other white
-    space beside a space can be cut before each space; other texts are encoded whole. A group of texts is cut and its words are numbered by
+    space beside a space can be cut before each space; other texts are encoded whole, and so are texts with the content of an
+    added token, such as <|endoftext|>, which the tokenizer matches before anything else. A group of texts is cut and its words are numbered by
     Arrow; only distinct words are looked up, and the ids are put together by their numbers. New words are encoded many at a time:
     only the first token of a space-led word starts with the vocabulary's sign for a space, which tells the words apart again.
     """
@@ -63,7 +64,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
         self.leads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
@@ -73,10 +74,17 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _has_added(self, text: str) -> bool:
+        return any(content in text for content in self.added)
+
     def _learn(self, new: list[str]) -> None:
         for at in range(0, len(new), 2000):
             words = new[at : at + 2000]
-            data = self._whole([" " + " ".join(words)])[0]
+            joined = " " + " ".join(words)
+            if self._has_added(joined):  # an added token with a space in it, over two words that no text has side by side
+                self.words.update(zip(words, self._whole([" " + w for w in words]), strict=True))
+                continue
+            data = self._whole([joined])[0]
             ends = [*(4 * np.flatnonzero(self.leads[np.frombuffer(data, "<u4")])[1:]).tolist(), len(data)]
             if len(ends) != len(words):
                 raise ValueError("words do not come apart: the vocabulary is not byte-level")
@@ -137,7 +145,7 @@ class Encoder:
             group.clear()
 
         for k, text in enumerate(texts):
-            if not single_spaced(text):
+            if not single_spaced(text) or self._has_added(text):
                 out[k] = self._whole([text])[0]
                 continue
             if group and chars + len(text) > GROUP_CHARS:
