@@ -34,6 +34,8 @@ AWAY_NAMES = re.compile(
     r"newsletter|subscri\w+|signup|login|share|sharing|social|related|recommend\w*|comments?|replies|reply|respond|disqus|widgets?|toolbar|pagination|pager|complementary|contentinfo|search)(?![a-z])"
 )
 SKIPPED = frozenset(("br", "wbr", "img"))
+#: In a label, that the element's whole values have such a name.
+AWAY_SIGN = " !"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -81,8 +83,10 @@ def parse(page: str | None) -> Node:
                 del stack[k:], names[k:]
             elif names[k] in FENCES:
                 break
-        found = sorted((k.lower(), re.sub(r"\d+", "", a or b or c).lower().strip()[:60]) for k, a, b, c in _NAMES.findall(m["attrs"])) if m["attrs"] else ()
-        node = Node(tag + "".join(f" {k}={v}" for k, v in found))
+        found = sorted((k.lower(), re.sub(r"\d+", "", a or b or c).lower().strip()) for k, a, b, c in _NAMES.findall(m["attrs"])) if m["attrs"] else ()
+        # the label's values are shortened for alignment, its verdict is of the whole ones
+        sign = AWAY_SIGN if found and AWAY_NAMES.search("".join(f" {k}={v}" for k, v in found)) else ""
+        node = Node(tag + sign + "".join(f" {k}={v[:60]}" for k, v in found))
         stack[-1].kids.append(node)
         if tag not in VOID and not m["attrs"].endswith("/") and len(stack) < DEEPEST:
             stack.append(node)
@@ -96,7 +100,7 @@ BLOCKS = frozenset("p div article section main header footer nav aside ul ol dl
 def away(label: str, inside: bool) -> bool:
     """Whether an element is none of the article's; a header inside the article is its own."""
     tag, _, rest = label.partition(" ")
-    return tag in AWAY or tag == "header" and not inside or bool(rest and AWAY_NAMES.search(rest))
+    return tag in AWAY or tag == "header" and not inside or rest.startswith(AWAY_SIGN.strip())
 
 
 # ---- inference ----
