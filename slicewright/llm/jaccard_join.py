@@ -153,8 +153,9 @@ def _links(sets: list[np.ndarray], sides: list[int], cross: bool, weights: list[
     count, sizes = len(sets), np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     _, token, often = np.unique(flat, return_inverse=True, return_counts=True)
-    lists = np.repeat(np.arange(count), sizes)[np.argsort(token, kind="stable")]  # set numbers, by token, ascending in size
-    begin = np.cumsum(often) - often
+    order = np.argsort(token, kind="stable")
+    lists = np.repeat(np.arange(count), sizes)[order]  # set numbers, by token, ascending in size
+    places = token[order] * count + lists
     ends = np.cumsum(sizes)
     own = [token[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
     side, weight = np.array(sides), np.array(weights)
@@ -166,39 +167,38 @@ def _links(sets: list[np.ndarray], sides: list[int], cross: bool, weights: list[
             x = parent[x]
         return x
 
-    def meet(tokens: np.ndarray) -> np.ndarray:
-        """How often each set is in the lists of ``tokens``."""
-        n = often[tokens]
-        total = int(n.sum())
-        at = np.repeat(begin[tokens] - (np.cumsum(n) - n), n) + np.arange(total)
+    def meet(tokens: np.ndarray, low: int, high: int) -> np.ndarray:
+        """How often each set from ``low`` to below ``high`` is in the lists of ``tokens``, of which only that stretch is read."""
+        begin = np.searchsorted(places, tokens * count + low)
+        n = np.searchsorted(places, tokens * count + high) - begin
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         return np.bincount(lists[at], minlength=count)
 
     spanning, linked = [], [0] * count
-    before: tuple[np.ndarray, np.ndarray] | None = None  # tokens and overlaps of the last set that was computed
+    before: tuple[np.ndarray, np.ndarray, int] | None = None  # tokens and overlaps of the last set that was computed, and up to where
     for a in range(count):
         n, tokens = int(sizes[a]), own[a]
         high = int(np.searchsorted(sizes, 100 * n // threshold, side="right"))  # sets from a on that are not too large
         if high <= a + 1:
             continue
         derived = False
-        if before is not None:
+        if before is not None and before[2] > a + 1:
             gone, new = np.setdiff1d(before[0], tokens, assume_unique=True), np.setdiff1d(tokens, before[0], assume_unique=True)
             derived = 2 * (len(gone) + len(new)) < n
         if derived:
             overlap = before[1].copy()
             if len(gone):
-                overlap -= meet(gone)
+                overlap -= meet(gone, a + 1, before[2])
             if len(new):
-                overlap += meet(new)
+                overlap += meet(new, a + 1, before[2])
+            if high > before[2]:
+                overlap += meet(tokens, before[2], high)
         else:
             rare = tokens[np.argsort(often[tokens], kind="stable")][: n - -(-threshold * n // 100) + 1]
-            some = meet(rare)
-            some[: a + 1] = 0
-            some[high:] = 0
-            if not some.any():
+            if not meet(rare, a + 1, high).any():
                 continue
-            overlap = meet(tokens)
-        before = tokens, overlap
+            overlap = meet(tokens, a + 1, high)
+        before = tokens, overlap, high
         near = overlap[a + 1 : high]
         hits = a + 1 + np.flatnonzero((100 + threshold) * near >= threshold * (n + sizes[a + 1 : high]))
         if cross:
