@@ -1,12 +1,15 @@
 """Exact n-gram Jaccard self-join with set-relation skipping; documents linked at a threshold form components.
 
 1. Each document becomes its set of hashed shingles. Equal sets form one class; only classes go on.
-2. Candidates: a set is cut by hash position into somewhat more parts than two linked sets of its size can differ in tokens, so
-   linked sets share several parts; it is known for each set how many at least. Index lists are kept by
+2. Which sets may be linked at all: a set is listed under its smallest tokens, more of them than two linked sets can differ in, so that linked sets share
+   several lists; it is known for each set how many at least. A task meets its own sets first and sends one entry for each list, so a token that everything
+   has is no hot key. Of a list only sets of one size block, or of two next to each other, meet. Sets that meet others in too few lists are left out.
+3. With which: a set that is left is cut by hash position into somewhat more parts than two linked sets of its size can differ in. Index lists are kept by
    size block and position of the part: a list is only met by sets of its own block and the one below, all others are skipped unread.
-   Sets in too few shared lists are left out. Each list links the others to its smallest one, and the components of these links are what may be linked at all.
-3. Verification, in tiles of at most ``BLOCK`` x ``BLOCK`` classes of one component: inverted lists ordered by set size, of which only the
-   stretch that the size bound allows is read; a set whose rare tokens meet nothing stops at its prefix; and the overlaps
+   Sets in too few shared lists are left out. Each list links the others to its smallest one, and the components of these links are verified.
+4. Verification, in tiles of at most ``BLOCK`` x ``BLOCK`` classes of one component and of size blocks that can match: inverted lists ordered by set size.
+   A set that meets nothing in the lists of its rarest tokens stops there; each of these lists holds only sets that have the token among their own rarest,
+   and is read as far as the position of the token in the set allows. The overlaps
    of a set that is like the one before it are derived from that one's overlaps by the lists of the tokens in which they differ.
    A tile gives back spanning links and link counts, never its pairs.
 
@@ -25,13 +28,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slicewright.llm.components import components
+from slicewright.llm.textcols import free_name
 from slicewright.session import drop_materialized, materialize, release
 
 #: Words of a shingle, and the threshold: linked if 100 * intersection >= THRESHOLD * union.
 WORDS, THRESHOLD = 5, 80
 BLOCK = 512
-#: How often classes with too few shared lists are left out; any number gives the same links.
-ROUNDS = 2
+#: One token of so many is listed beyond what linked sets can differ in; more entries then, but fewer sets that share enough lists by chance.
+SPARE = 10
+#: List entries that a task holds at once.
+HELD = 1_000_000
+#: How often classes in too few shared lists of parts are left out; any number gives the same links.
+ROUNDS = 1
 CACHE_WORDS = 300_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -84,12 +92,28 @@ def _blocks(threshold: int) -> tuple[list[tuple[int, int]], np.ndarray]:
     return blocks, np.array([low for low, _ in blocks])
 
 
+def size_block(n: int, threshold: int = THRESHOLD) -> int:
+    """The number of the block of sets of size ``n``."""
+    return int(np.searchsorted(_blocks(threshold)[1], n, side="right")) - 1
+
+
+def signatures(tokens: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, int]:
+    """The lists that a set is in, which are its smallest tokens, and how many of them a linked set is in too.
+
+    Linked sets have at least the threshold's share of the larger one in common. So if each is listed under as many tokens as it may have alone, and ``k`` more,
+    ``k`` lists are common to both, with the ``k`` of the smaller one.
+    """
+    n = len(tokens)
+    common = -(-threshold * n // 100)
+    return tokens[: n - common + max(1, n // SPARE)], max(1, common // SPARE)
+
+
 def differing(high: int, threshold: int = THRESHOLD) -> int:
     """How many tokens at most two linked sets of sizes up to ``high`` have not in common."""
     return 2 * high * (100 - threshold) // (100 + threshold)
 
 
-def signatures(tokens: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, int, int, int]:
+def part_lists(tokens: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, int, int, int]:
     """The index lists that a set is in, how many of them are of its own block, and how many of its own and of the next block a linked set has too.
 
     A list is a hash of size block, position and content of a part. Two sets that are linked differ in at most as many parts as in tokens, so a set
@@ -127,23 +151,56 @@ def class_of(tokens: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else None
 
 
+def meet_at_home(lists: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each set of a task the lists for which it speaks, one set for each list, and the lists that another set of the task is in too."""
+    flat = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+    order = np.argsort(flat, kind="stable")
+    new = flat[order][1:] != flat[order][:-1]
+    first, last = np.append(True, new)[: len(flat)], np.append(new, True)[: len(flat)]
+    speaks, met = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
+    speaks[order], met[order] = first, ~(first & last)
+    cuts = np.cumsum([len(x) for x in lists])[:-1]
+    return [(x[s], x[m]) for x, s, m in zip(lists, np.split(speaks, cuts), np.split(met, cuts), strict=True)] if lists else []
+
+
+_SETS = "doc_id long, digest long, n long, class long, block int, need int, lists array<bigint>, met array<bigint>"
+
+
 def _describe(words: int, threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of ``_SETS``: ``lists`` and ``met`` only where a task comes to a class for the first time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(words), set()
+        shingler, seen, rows, lists, held = Shingler(words), set(), [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held
+            found = iter(meet_at_home([x for x in lists if x is not None]))
+            both = [(None, None) if x is None else next(found) for x in lists]
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 2
+            arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+            arrays += [pa.array([None if x[k] is None else x[k].view(np.int64) for x in both], pa.list_(pa.int64())) for k in (0, 1)]
+            rows.clear()
+            lists.clear()
+            held = 0
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "digest", "n", "class", "block", "need", "lists", "met"])
+
         for batch in batches:
-            sizes, classes, lists = [], [], []
-            needs: list[tuple[int, int, int]] = []
-            for text in batch.column("text").to_pylist():
+            for doc_id, digest, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digest", "text")), strict=True):
                 tokens = shingler(text)
-                sizes.append(len(tokens))
-                classes.append(class_of(tokens))
-                if len(seen) > 2_000_000:
-                    seen.clear()
-                found = (None, 0, 1, 1) if classes[-1] in seen else signatures(tokens, threshold)  # a task lists a class once
-                lists.append(found[0])
-                needs.append(found[1:])
-                seen.add(classes[-1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(lists, pa.list_(pa.int64())), *(pa.array([x[k] for x in needs], pa.int32()) for k in range(3))], names=["doc_id", "digest", "n", "class", "lists", "own", "need_own", "need_next"])
+                cls = class_of(tokens)
+                new = cls is not None and cls not in seen
+                if new:
+                    if len(seen) > 2_000_000:
+                        seen.clear()
+                    seen.add(cls)
+                listed, need = signatures(tokens, threshold) if new else (None, None)
+                rows.append((doc_id, digest, len(tokens), cls, size_block(len(tokens), threshold) if cls is not None else None, need))
+                lists.append(listed)
+                held += len(listed) if new else 0
+                if held > HELD or len(rows) > HELD // 10:
+                    yield flush()
+        yield flush()
 
     return run
 
@@ -153,11 +210,20 @@ def _links(sets: list[np.ndarray], sides: list[int], cross: bool, weights: list[
     count, sizes = len(sets), np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     _, token, often = np.unique(flat, return_inverse=True, return_counts=True)
-    order = np.argsort(token, kind="stable")
-    lists = np.repeat(np.arange(count), sizes)[order]  # set numbers, by token, ascending in size
-    places = token[order] * count + lists
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    token = rank[token]  # the rarest is 0
+    owner = np.repeat(np.arange(count), sizes)
+    order = np.lexsort((token, owner))
+    token = token[order]  # each set from its rarest token on
     ends = np.cumsum(sizes)
     own = [token[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    alone = sizes - -(-threshold * sizes // 100)  # tokens that a set may have alone
+    position = np.arange(len(token)) - np.repeat(ends - sizes, sizes)
+    entries = token * count + owner
+    heads = np.sort(entries[position <= np.repeat(alone, sizes)])  # entries of tokens that are among the rarest of their set
+    places = np.sort(entries)
+    lists = places % count  # set numbers, by token, ascending in size
     side, weight = np.array(sides), np.array(weights)
     parent = list(range(count))
 
@@ -174,6 +240,14 @@ def _links(sets: list[np.ndarray], sides: list[int], cross: bool, weights: list[
         at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         return np.bincount(lists[at], minlength=count)
 
+    def may_link(a: int, tokens: np.ndarray) -> bool:
+        """Whether a set after ``a`` is in a list of its rarest tokens, each read as far as what is left of ``tokens`` from its position on can match."""
+        n = len(tokens)
+        rare = tokens[: int(alone[a]) + 1]
+        most = (100 + threshold) * (n - np.arange(len(rare))) // threshold - n
+        upto = np.searchsorted(sizes, most, side="right")
+        return bool((np.searchsorted(heads, rare * count + np.maximum(upto, a + 1)) > np.searchsorted(heads, rare * count + a + 1)).any())
+
     spanning, linked = [], [0] * count
     before: tuple[np.ndarray, np.ndarray, int] | None = None  # tokens and overlaps of the last set that was computed, and up to where
     for a in range(count):
@@ -194,8 +268,7 @@ def _links(sets: list[np.ndarray], sides: list[int], cross: bool, weights: list[
             if high > before[2]:
                 overlap += meet(tokens, before[2], high)
         else:
-            rare = tokens[np.argsort(often[tokens], kind="stable")][: n - -(-threshold * n // 100) + 1]
-            if not meet(rare, a + 1, high).any():
+            if not may_link(a, tokens):
                 continue
             overlap = meet(tokens, a + 1, high)
         before = tokens, overlap, high
@@ -247,38 +320,64 @@ def _tiles(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def _tokens(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+_TOKENS = "class long, copies long, size int, tokens binary, lists array<bigint>, own int, need_own int, need_next int"
+
+
+def _tokens(words: int, threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of ``_TOKENS`` for the texts of classes, each class once in a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(words), set()
         for batch in batches:
-            sets, right = [], []
+            sets, found, right = [], [], []
             for text, c in zip(batch.column("text").to_pylist(), batch.column("class").to_pylist(), strict=True):
-                tokens = None if c in seen else shingler(text)  # a task sends a class once
+                tokens = None if c in seen else shingler(text)
                 right.append(tokens is not None and class_of(tokens) == c)  # digests of an id's texts may be equal by chance
-                sets.append(tokens.tobytes() if right[-1] else None)
                 if right[-1]:
+                    sets.append(tokens.tobytes())
+                    found.append(part_lists(tokens, threshold))
                     if len(seen) > 2_000_000:
                         seen.clear()
                     seen.add(c)
-            yield batch.drop_columns(["text"]).append_column("tokens", pa.array(sets, pa.binary())).filter(pa.array(right, pa.bool_()))
+            left = batch.drop_columns(["text"]).filter(pa.array(right, pa.bool_()))
+            lists = pa.array([x[0] for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*left.columns, pa.array(sets, pa.binary()), lists, *(pa.array([x[k] for x in found], pa.int32()) for k in (1, 2, 3))], names=["class", "copies", "size", "tokens", "lists", "own", "need_own", "need_next"])
 
     return run
 
 
-def _likely(hits: DataFrame, described: DataFrame) -> DataFrame:
-    """Edges (a, b) from each shared list's smallest class to the others, without classes that are in too few shared lists of a block to be linked with any."""
-    needs = described.where("lists is not null").select("class", "need_own", "need_next").distinct()
-    hits = materialize(hits, "hits")
+def _places(hits: DataFrame) -> DataFrame:
+    """(list, block) of the size blocks of lists in which classes meet."""
+    places = hits.groupBy("list", "block").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    at = lambda d: F.struct((F.col("block") + d).alias("block"), F.lit(d).alias("from"))
+    around = places.select("list", F.explode(F.array(at(-1), at(0), at(1))).alias("at"), "low", "high").select("list", "at.*", "low", "high")
+    pick = lambda d, c: F.max(F.when(F.col("from") == d, c))
+    found = around.groupBy("list", "block").agg(pick(0, F.col("low")).alias("low"), pick(0, F.col("low") < F.col("high")).alias("several"), F.bool_or(F.col("from") != 0).alias("beside"))
+    return found.where("low is not null and (several or beside)").select("list", "block")
+
+
+def _likely(hits: DataFrame) -> DataFrame:
+    """(class) of what meets others in as many lists as a link needs. ``hits`` have list, class, block, need, each list and class once."""
+    met = hits.join(_places(hits), ["list", "block"])
+    return met.groupBy("class").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).where("c >= need").select("class")
+
+
+def _edges(hits: DataFrame) -> DataFrame:
+    """Edges (a, b) from each shared list's smallest class to the others, without classes that are in too few shared lists of a block to be linked with any.
+
+    ``hits`` is a written table of (list, class, next, need), which goes.
+    """
     for _ in range(ROUNDS):
-        enough = hits.groupBy("class", "next").agg(F.count(F.lit(1)).alias("c")).join(needs, "class")
-        enough = enough.where(F.col("c") >= F.when(F.col("next"), F.col("need_next")).otherwise(F.col("need_own"))).select("class", "next")
-        left = materialize(hits.join(enough, ["class", "next"]), "left")
-        lows = left.groupBy("list").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").drop("high")
-        kept = materialize(left.drop("low").join(lows, "list"), "hits")
+        several = hits.groupBy("list").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("list")
+        met = hits.join(several, "list")
+        enough = met.groupBy("class", "next").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).where("c >= need").select("class", "next")
+        left = materialize(met.join(enough, ["class", "next"], "left_semi"), "hits")
         drop_materialized(hits)
-        drop_materialized(left)
-        hits = kept
-    return hits.select(F.col("low").alias("a"), F.col("class").alias("b"))
+        hits = left
+    lows = hits.groupBy("list").agg(F.min("class").alias("a"))
+    edges = materialize(hits.join(lows, "list").where("a < class").select("a", F.col("class").alias("b")).distinct(), "met")
+    drop_materialized(hits)
+    return edges
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -293,23 +392,42 @@ def _classes(docs: DataFrame, doc_id: str, text: str, words: int, threshold: int
         raise ValueError("words must be positive, and the threshold from 1 to 99")
     spark = docs.sparkSession
     rows = _rows(docs, doc_id, text)
-    described = materialize(rows.mapInArrow(_describe(words, threshold), "doc_id long, digest long, n long, class long, lists array<bigint>, own int, need_own int, need_next int"), "sets")
-    entries = described.where("lists is not null").select(F.posexplode("lists").alias("at", "list"), "class", "own").select("list", "class", (F.col("at") >= F.col("own")).alias("next"))
-    # a count is less to shuffle than the classes are; lists that several tasks sent for one class are left out later
-    shared = materialize(entries.groupBy("list").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("list"), "lists")
+    described = materialize(rows.mapInArrow(_describe(words, threshold), _SETS), "sets")
+    listed = described.where("lists is not null")
+    by_list = Window.partitionBy("list").orderBy("class")
+    sent = listed.select(F.explode("lists").alias("list"), "class").withColumns({"before": F.lag("class").over(by_list), "after": F.lead("class").over(by_list)})
+    # of a class that several tasks sent, at least one entry is beside another class
+    shared = materialize(sent.where("before <> class or after <> class").select("list", "class"), "shared")
     release(spark)
-    maybe = materialize(components(_likely(entries.join(shared, "list").select("list", "class", "next").distinct(), described)), "maybe")
+    needs = listed.groupBy("class").agg(F.first("block").alias("block"), F.first("need").alias("need"))
+    hits = materialize(shared.unionByName(listed.select(F.explode("met").alias("list"), "class")).distinct().join(needs, "class"), "hits")
+    maybe = materialize(_likely(hits), "maybe")
+    for used in (shared, hits):
+        drop_materialized(used)
     release(spark)
     lowest_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("low")
-    classes = described.where("class is not null").groupBy("class").agg(lowest_row, F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes.select("class", F.col("low.doc_id").alias("first"), F.col("low.digest").alias("digest"), "copies"), "classes")
-    sized = maybe.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    likely = maybe.join(sized, "root").join(classes, maybe["node"] == classes["class"])
-    likely = likely.select("class", "first", F.col("digest").alias("of"), "copies", F.col("root").alias("comp"), "blocks", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"))
-    texts = rows.join(likely, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("of"))).drop("doc_id", "digest", "first", "of")
-    sets = texts.mapInArrow(_tokens(words), "class long, copies long, comp long, blocks int, block int, tokens binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiled = sets.withColumn("other", other).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "block", "copies", "tokens")
+    classes = described.where("class is not null").groupBy("class").agg(lowest_row, F.count(F.lit(1)).alias("copies"), F.first("block").alias("size"))
+    classes = materialize(classes.select("class", F.col("low.doc_id").alias("first"), F.col("low.digest").alias("digest"), "copies", "size"), "classes")
+    likely = classes.join(maybe, "class", "left_semi").select("class", "first", F.col("digest").alias("of"), "copies", "size")
+    texts = rows.join(likely, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("of"))).select("text", "class", "copies", "size")
+    sets = materialize(texts.mapInArrow(_tokens(words, threshold), _TOKENS), "tokens")
+    release(spark)
+    listed = sets.select(F.posexplode("lists").alias("at", "list"), "class", "own", "need_own", "need_next").withColumn("next", F.col("at") >= F.col("own"))
+    hits = materialize(listed.select("list", "class", "next", F.when(F.col("next"), F.col("need_next")).otherwise(F.col("need_own")).alias("need")).distinct(), "hits")
+    edges = _edges(hits)
+    release(spark)
+    near = materialize(components(edges), "near")
+    drop_materialized(edges)
+    release(spark)
+    near = sets.join(near, near["node"] == sets["class"]).select("class", "copies", "size", "tokens", F.col("root").alias("comp"))
+    sized = near.groupBy("comp", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sized = sized.groupBy("comp").agg(F.map_from_entries(F.collect_list(F.struct("size", "blocks"))).alias("sizes"))  # as many as there are size blocks: under 200
+    at = lambda size, k: F.shiftleft(size.cast("long"), 32) + k
+    matching = F.filter(F.sequence(F.col("size") - 1, F.col("size") + 1), lambda s: F.map_contains_key("sizes", s))
+    others = F.flatten(F.transform(matching, lambda s: F.transform(F.sequence(F.lit(0), F.col("sizes")[s] - 1), lambda k: at(s, k))))
+    block = at(F.col("size"), F.pmod(F.xxhash64("class"), F.col("sizes")[F.col("size")]))
+    dealt = near.join(sized, "comp").withColumns({"block": block, "other": F.explode(others)})
+    tiled = dealt.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "block", "copies", "tokens")
     verified = materialize(tiled.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_tiles(threshold), "a long, b long, w long"), "links")
     release(spark)
     roots = components(verified.where("b is not null").select("a", "b"))
@@ -319,7 +437,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, words: int, threshold: int
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"), F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest", "class")).alias("low"))
     by_class = named.join(lowest, "root").select("class", "component_id", "n_links", "first", "digest", (F.col("low.class") == F.col("class")).alias("stays"))
     by_class = materialize(by_class, "by_class")
-    for used in (shared, maybe, classes, verified):
+    for used in (maybe, classes, sets, verified):
         drop_materialized(used)
     return described, by_class
 
@@ -345,10 +463,18 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     Of several texts that a component has under that id the one with the smallest hash stays. Rows with an empty set stay; of rows that repeat an id and its text, once.
     """
     described, by_class = _classes(docs, doc_id, text, words, threshold)
-    kept = by_class.where("stays").select(F.col("first").alias("__id"), F.col("digest").alias("__digest"))
-    kept = materialize(kept.unionByName(described.where("class is null").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))).distinct(), "kept")
+    first = F.col("stays") & F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("of"))
+    named = described.select("doc_id", "digest", "class").join(by_class.withColumnRenamed("digest", "of"), "class", "left")
+    goes = F.when(F.col("class").isNotNull(), ~first).otherwise(F.lit(False))
+    decided = materialize(named.groupBy("doc_id", "digest").agg(F.max(goes).alias("goes"), F.count(F.lit(1)).alias("c")).where("goes or c > 1"), "decided")
     for used in (described, by_class):
         drop_materialized(used)
-    given, hashed = F.col(f"`{doc_id}`").cast("long"), F.xxhash64(F.col(f"`{text}`").cast("string"))
-    rows = docs.join(kept, given.eqNullSafe(F.col("__id")) & (hashed == F.col("__digest")), "left_semi")
-    return rows.withColumn("__copy", F.row_number().over(Window.partitionBy(given, hashed).orderBy(F.lit(0)))).where("__copy = 1").drop("__copy")
+    given, hashed = free_name(docs, "id"), free_name(docs, "hash")
+    rows = docs.withColumns({given: F.col(f"`{doc_id}`").cast("long"), hashed: F.xxhash64(F.col(f"`{text}`").cast("string"))})
+    same = lambda table: F.col(given).eqNullSafe(table["doc_id"]) & (F.col(hashed) == table["digest"])
+    odd, again = decided.select("doc_id", "digest"), decided.where("not goes").select("doc_id", "digest")
+    once = rows.join(odd, same(odd), "left_anti").drop(given, hashed)
+    # of repeated rows one stays: the partial limit of each task goes before the shuffle
+    repeated, rank = rows.join(again, same(again), "left_semi"), free_name(docs, "rank")
+    order = F.row_number().over(Window.partitionBy(given, hashed).orderBy(F.lit(0)))
+    return once.unionAll(repeated.withColumn(rank, order).where(F.col(rank) == 1).drop(given, hashed, rank))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,3 +26,11 @@ def words_of(text: Column) -> Column:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``: which fold a row is in."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+def free_name(rows: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``rows`` is called so, in any case."""
+    taken = {c.lower() for c in rows.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name

@@ -160,6 +160,10 @@ def test_linked_sets_share_a_list(threshold, gone, new):
         if len(b) and not np.array_equal(a, b) and 100 * inter >= threshold * (len(a) + len(b) - inter):
             x, y = jaccard_join.signatures(a, threshold), jaccard_join.signatures(b, threshold)
             both = np.intersect1d(x[0], y[0])
+            assert all(len(both) >= need for _, need in (x, y))
+            assert abs(jaccard_join.size_block(len(a), threshold) - jaccard_join.size_block(len(b), threshold)) <= 1
+            x, y = jaccard_join.part_lists(a, threshold), jaccard_join.part_lists(b, threshold)
+            both = np.intersect1d(x[0], y[0])
             for lists, own, need_own, need_next in (x, y):
                 own_hits = len(np.intersect1d(lists[:own], both))
                 assert own_hits >= need_own or len(both) - own_hits >= need_next
