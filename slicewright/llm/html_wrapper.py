@@ -13,6 +13,9 @@ import hashlib
 import html as entities
 import json
 import re
+import sys
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,7 +45,6 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
-DEEPEST = 120
 #: Pages on which the rest of the article differs, from which on a text that never changes is template.
 FIXED_FROM = 5
 
@@ -61,6 +63,16 @@ def parse(page: str | None) -> Node:
     """The tree of one page; scripts, styles and comments are left out and what is not closed is mended."""
     root = Node("#root")
     stack, names = [root], ["#root"]
+    opened: dict[str, list[int]] = defaultdict(list)  # where in the stack elements of a name are
+
+    def close(at: int) -> None:
+        for name in names[at:]:
+            opened[name].pop()
+        del stack[at:], names[at:]
+
+    def last(kinds: frozenset[str] | set[str]) -> int:
+        return max([opened[x][-1] for x in kinds if opened.get(x)], default=0)
+
     for m in _TOKEN.finditer(page or ""):
         if (text := m["text"]) is not None:
             stack[-1].kids.append(text)
@@ -69,26 +81,23 @@ def parse(page: str | None) -> Node:
             continue
         tag = m["tag"].lower()
         if m["end"]:
-            if tag in names:
-                at = len(names) - 1 - names[::-1].index(tag)
-                if at:
-                    del stack[at:], names[at:]
+            if opened.get(tag):
+                close(opened[tag][-1])
             continue
-        if tag not in INLINE and "p" in names and tag in BLOCKS:
-            at = len(names) - 1 - names[::-1].index("p")
-            if not FENCES & set(names[at:]):
-                del stack[at:], names[at:]
-        for k in range(len(names) - 1, 0, -1) if tag in CLOSES else ():
-            if names[k] in CLOSES[tag]:
-                del stack[k:], names[k:]
-            elif names[k] in FENCES:
-                break
+        if tag not in INLINE and tag in BLOCKS and opened.get("p") and last(FENCES) < opened["p"][-1]:
+            close(opened["p"][-1])
+        if tag in CLOSES:
+            fence = last(FENCES - CLOSES[tag])
+            after = [places[k] for x in CLOSES[tag] if (places := opened.get(x)) and (k := bisect_right(places, fence)) < len(places)]
+            if after:
+                close(min(after))
         found = sorted((k.lower(), re.sub(r"\d+", "", a or b or c).lower().strip()) for k, a, b, c in _NAMES.findall(m["attrs"])) if m["attrs"] else ()
         # the label's values are shortened for alignment, its verdict is of the whole ones
         sign = AWAY_SIGN if found and AWAY_NAMES.search("".join(f" {k}={v}" for k, v in found)) else ""
         node = Node(tag + sign + "".join(f" {k}={v[:60]}" for k, v in found))
         stack[-1].kids.append(node)
-        if tag not in VOID and not m["attrs"].endswith("/") and len(stack) < DEEPEST:
+        if tag not in VOID and not m["attrs"].endswith("/"):
+            opened[tag].append(len(stack))
             stack.append(node)
             names.append(tag)
     return root
@@ -104,6 +113,13 @@ def away(label: str, inside: bool) -> bool:
 
 
 # ---- inference ----
+# The functions below call themselves once for each level of a tree. Such calls take no room on the machine's stack, so the depth of a page needs no limit;
+# what does take room there (generators in sum() or max(), nested JSON) is not between a call and the next.
+
+
+def unlimited() -> None:
+    """Lift the interpreter's own limit on nested calls."""
+    sys.setrecursionlimit(1 << 30)
 
 
 def generalise(node: Node) -> Node:
@@ -128,8 +144,8 @@ def generalise(node: Node) -> Node:
             out.kids[-1].seen = [hash((last.seen[0], new.seen[0]))]  # one page has one content
         else:
             out.kids.append(new)
-    out.chars = sum(k.chars for k in out.kids)
-    out.seen = [hash(tuple(k.seen[0] for k in out.kids if not away(k.label, True)))]  # of whole numbers, so alike in all processes
+    out.chars = sum([k.chars for k in out.kids])
+    out.seen = [hash(tuple([k.seen[0] for k in out.kids if not away(k.label, True)]))]  # of whole numbers, so alike in all processes
     return out
 
 
@@ -183,56 +199,79 @@ def at_place(place: tuple, fixed: int) -> int:
 
 
 def dump(node: Node) -> list:
-    return [node.label, node.often, node.chars, node.fixed, node.seen, [dump(k) for k in node.kids]]
+    """The nodes in the order of the page, each with the number of its children."""
+    out, stack = [], [node]
+    while stack:
+        n = stack.pop()
+        out.append([n.label, n.often, n.chars, n.fixed, n.seen, len(n.kids)])
+        stack.extend(reversed(n.kids))
+    return out
 
 
-def load(x: list) -> Node:
-    node = Node(x[0])
-    node.often, node.chars, node.fixed, node.seen, node.kids = x[1], x[2], x[3], x[4], [load(k) for k in x[5]]
-    return node
+def load(rows: list) -> Node:
+    top = Node("")
+    open_: list[list] = [[top, 1]]
+    for label, often, chars, fixed, seen, kids in rows:
+        while not open_[-1][1]:
+            open_.pop()
+        node = Node(label)
+        node.often, node.chars, node.fixed, node.seen = often, chars, fixed, seen
+        open_[-1][0].kids.append(node)
+        open_[-1][1] -= 1
+        open_.append([node, kids])
+    return top.kids[0]
 
 
 def expression(node: Node) -> str:
     """The wrapper as text: elements, ``#PCDATA`` slots, and groups with ?, + or *."""
     if node.label == "#text":
         return "#PCDATA" if node.fixed is None else f"'{node.fixed & (1 << 64) - 1:016x}'"
-    inner = f"<{node.label}>" + " ".join(expression(k) for k in node.kids) + f"</{node.label.partition(' ')[0]}>"
+    inner = f"<{node.label}>" + " ".join([expression(k) for k in node.kids]) + f"</{node.label.partition(' ')[0]}>"
     return inner if node.often == "1" else f"({inner}){node.often}"
 
 
 def article_path(root: Node) -> list[str]:
     """Labels from the root to the article: an article or main element, else down to where most of the text is."""
     found: list[tuple[int, int, list[str]]] = []
+    sizes: dict[int, int] = {}
+    size(root, sizes)
+    path: list[str] = []
 
-    def look(node: Node, path: list[str]) -> None:
+    def look(node: Node) -> None:
         for kid in node.kids:
             if isinstance(kid, str) or kid.label == "#text" or away(kid.label, False):
                 continue
             tag, _, rest = kid.label.partition(" ")
+            path.append(kid.label)
             if tag in ("article", "main") or "role=main" in rest or "role=article" in rest:
-                found.append((tag == "article" and kid.often in ("1", "?"), size(kid), [*path, kid.label]))
-            look(kid, [*path, kid.label])
+                found.append((tag == "article" and kid.often in ("1", "?"), sizes.get(id(kid), 0), list(path)))
+            look(kid)
+            path.pop()
 
-    look(root, [])
-    if found and (best := max(found, key=lambda f: (f[1] * 2 >= max(g[1] for g in found), f[0], f[1])))[1]:
+    look(root)
+    largest = max([f[1] for f in found], default=0)
+    if largest and (best := max(found, key=lambda f: (f[1] * 2 >= largest, f[0], f[1])))[1]:
         return best[2]
-    path, node = [], root
+    node = root
     while True:
         kids = [k for k in node.kids if not isinstance(k, str) and k.label != "#text" and not away(k.label, False)]
-        top = max(kids, key=size, default=None)
-        if top is None or top.label.partition(" ")[0] in ("p", *INLINE) or size(top) < 0.7 * size(node) or top.often in ("+", "*"):
+        top = max(kids, key=lambda k: sizes.get(id(k), 0), default=None)
+        if top is None or top.label.partition(" ")[0] in ("p", *INLINE) or sizes.get(id(top), 0) < 0.7 * sizes[id(node)] or top.often in ("+", "*"):
             return path
         path.append(top.label)
         node = top
 
 
-def size(node: Node | str) -> int:
-    """Characters of text that are not in elements of other kinds."""
+def size(node: Node | str, sizes: dict[int, int] | None = None) -> int:
+    """Characters of text that are not in elements of other kinds; ``sizes`` gets those of all nodes on the way."""
     if isinstance(node, str):
         return len(node.strip())
     if node.label == "#text":
         return node.chars
-    return sum(size(k) for k in node.kids if isinstance(k, str) or not away(k.label, True))
+    n = sum([size(k, sizes) for k in node.kids if isinstance(k, str) or not away(k.label, True)])
+    if sizes is not None:
+        sizes[id(node)] = n
+    return n
 
 
 def template_texts(root: Node, path: list[str]) -> list[int]:
@@ -276,6 +315,7 @@ def template_texts(root: Node, path: list[str]) -> list[int]:
 
 def extract(page: str | None, path: list[str], fixed: frozenset[int] = frozenset()) -> str:
     """The article's text: a line for each block, white space inside a block made one space."""
+    unlimited()
     root = parse(page)
     nodes = [root]
     for label in path:
@@ -332,10 +372,11 @@ def host_of(url):
 
 def _expressions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Host, expression and count of distinct shapes in this task; one shape's pages are merged here already."""
+    unlimited()
     shapes: dict[tuple[str, str], Node] = {}
 
     def out() -> pa.RecordBatch:
-        rows = [(h, s, json.dumps(dump(n))) for (h, s), n in shapes.items()]
+        rows = [(h, f"{checksum(s) & (1 << 64) - 1:016x}", json.dumps(dump(n))) for (h, s), n in shapes.items()]
         shapes.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["host", "shape", "tree"])
 
@@ -351,20 +392,43 @@ def _expressions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shape_of(node: Node) -> str:
-    return node.label + "(" + ",".join(shape_of(k) for k in node.kids) + ")" if node.kids else node.label
+    return node.label + "(" + ",".join([shape_of(k) for k in node.kids]) + ")" if node.kids else node.label
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One expression for each group (host, part) of the sorted rows, aligned as they stream in, those of one shape with each other first."""
+    unlimited()
+    key = shape = wrapper = same = None
+    out: list[tuple] = []
 
+    def whole() -> Node | None:
+        return same if wrapper is None else wrapper if same is None else merge(wrapper, same)
+
+    def flush() -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [()] * 3
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string()), strict=True)], names=["host", "part", "tree"])
 
-def _align(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One expression for each group, aligned as the rows stream in; ``key`` is the group's."""
-    wrapper = None
     for batch in batches:
-        for tree in batch.column("tree").to_pylist():
+        for host, part, this, tree in zip(*(batch.column(c).to_pylist() for c in ("host", "part", "shape", "tree")), strict=True):
             other = load(json.loads(tree))
-            wrapper = other if wrapper is None else merge(wrapper, other)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.string()), pa.array([json.dumps(dump(wrapper))], pa.string())], names=["host", "tree"])
+            if (host, part) != key:
+                if key is not None:
+                    out.append((*key, json.dumps(dump(whole()))))
+                key, shape, wrapper, same = (host, part), this, None, other
+            elif this == shape:
+                same = merge(same, other)
+            else:
+                wrapper, shape, same = whole(), this, other
+        if len(out) > 1000:
+            yield flush()
+    if key is not None:
+        out.append((*key, json.dumps(dump(whole()))))
+    yield flush()
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unlimited()
     for batch in batches:
         rows = []
         for host, tree in zip(batch.column("host").to_pylist(), batch.column("tree").to_pylist(), strict=True):
@@ -375,22 +439,25 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
 
-#: Into how many parts a host's shapes are dealt for the first alignment.
-SALT = 16
+#: Into how many parts a host's shapes are dealt, by a hash, for each round of alignment; the last one has the whole host.
+PARTS = (256, 16, 1)
 
 
 def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """host, path, fixed, expression: one wrapper for each host, from all of its pages."""
+    """host, path, fixed, expression: one wrapper for each host, from all of its pages, whatever order they come in."""
     rows = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{page}`").alias("page"))
-    shapes = rows.mapInArrow(_expressions, "host string, shape string, tree string")
-    salted = shapes.select("host", F.pmod(F.xxhash64("shape"), F.lit(SALT)).alias("salt"), "tree")
-    some = salted.groupBy("host", "salt").applyInArrow(_align, "host string, tree string")
-    whole = some.groupBy("host").applyInArrow(_align, "host string, tree string")
-    return whole.mapInArrow(_summary, "host string, path array<string>, fixed array<bigint>, expression string")
+    trees = rows.mapInArrow(_expressions, "host string, shape string, tree string").withColumn("part", F.pmod(F.xxhash64("shape"), F.lit(PARTS[0])).cast("int"))
+    for parts in PARTS:
+        dealt = trees.withColumn("part", F.col("part") % parts).repartition("host", "part").sortWithinPartitions("host", "part", "shape", "tree")
+        trees = dealt.mapInArrow(_align, "host string, part int, tree string").withColumn("shape", F.format_string("%08d", "part"))
+    return trees.select("host", "tree").mapInArrow(_summary, "host string, path array<string>, fixed array<bigint>, expression string")
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """One row per input row: page_id, url, text, n_chars. Null or empty html gives an empty text; null urls form one host; repeated rows are read alike."""
+    """One row per input row: page_id, url, text, n_chars. Null or empty html gives an empty text; null urls form one host; repeated rows are read alike.
+
+    Pages may be of any length and depth, and in any order. Other columns, whatever their names, are not read; an empty table gives none.
+    """
     found = materialize(wrappers(pages, url, page).drop("expression"), "wrappers")
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{page}`").alias("page"), host_of(F.col(f"`{url}`")).alias("host"))
     joined = rows.join(found, "host", "left")  # the measured size of the wrappers decides between broadcast and shuffle
