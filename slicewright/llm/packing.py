@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,14 +66,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     rows = materialize(narrow, "sizes")
     shards = max(1, -(-rows.count() // shard_rows))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "cluster", "source"], ignore_index=True)
-        got = best_fit(part["size"].tolist(), part["source"].tolist(), part["cluster"].tolist(), capacity, source_conflicts)
-        out = pd.DataFrame(got, columns=["i", "piece", "bin", "bin_start", "n_tokens"])
-        out["doc_id"] = part["doc_id"].to_numpy()[out["i"]]
-        out["bin_id"] = part["shard"].iloc[0] * (1 << 32) + out["bin"]
-        return out[["doc_id", "piece", "bin_id", "bin_start", "n_tokens"]]
-
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("doc_id", "ascending"), ("cluster", "ascending"), ("source", "ascending")])
+        got = best_fit(part["size"].to_pylist(), part["source"].to_pylist(), part["cluster"].to_pylist(), capacity, source_conflicts)
+        i, piece, bins, start, n = (list(c) for c in zip(*got, strict=True))
+        base = part["shard"][0].as_py() << 32
+        ints = [pa.array(piece, pa.int32()), pa.array([base + b for b in bins], pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32())]
+        return pa.table([part["doc_id"].take(pa.array(i, pa.int64())), *ints], names=["doc_id", "piece", "bin_id", "bin_start", "n_tokens"])
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "source"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(run, _OUT.format(kind=docs.schema["doc_id"].dataType.simpleString()))
+    return dealt.groupBy("shard").applyInArrow(run, _OUT.format(kind=docs.schema["doc_id"].dataType.simpleString()))
