@@ -3,7 +3,7 @@
 A frequent-items sketch (Misra-Gries counters, merged across tasks) names at most ``TRACKED`` digests
 that may be frequent. Their exact counts and largest ids, at most that many rows, are broadcast, and each task drops
 what loses to a broadcast winner before any shuffle. What is left, light groups and the winners themselves,
-is shuffled by digest, so no key of that shuffle holds more than a ``1/TRACKED`` share of the rows.
+is shuffled by digest, so no key of that shuffle holds a share of the rows much above ``1/HEAVY``: the sketch may miss one by its error, some ``1/TRACKED``.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slicewright.llm.textcols import ascii_lower
-from slicewright.session import materialize
+from slicewright.llm.textcols import ascii_lower, free_name
+from slicewright.session import drop_materialized, materialize
 
 #: Counters of the sketch, and so the bound on what is broadcast.
 TRACKED = 4096
@@ -65,12 +65,28 @@ def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, whole and with their own columns; rules as for :func:`decide`."""
-    heavy = winners(_narrow(docs, doc_id, text))
-    known = docs.withColumns({"__id": F.col(f"`{doc_id}`"), "__digest": digest_of(F.col(f"`{text}`"))})
-    _, rest = split(known, heavy)
-    first = F.row_number().over(Window.partitionBy("__digest").orderBy(F.col("__id").desc_nulls_last()))
-    return rest.withColumn("__rank", first).where("__rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that stay, whole and with their own columns; rules as for :func:`decide`. Of rows that share id and text one stays.
+
+    Which rows go is found from ids and digests alone; the texts themselves are only filtered, unless their rows are repeated.
+    """
+    narrow = materialize(_narrow(docs, doc_id, text), "digests")
+    lost, rest = split(narrow, winners(narrow))
+    last = Window.partitionBy("__digest")
+    ranked = rest.select("__id", "__digest", F.max("__id").over(last).alias("__last"))
+    goes = ~F.col("__id").eqNullSafe(F.col("__last"))
+    seen = ranked.select("__id", "__digest", goes.alias("goes")).unionAll(lost.select("__id", "__digest", F.lit(True)))
+    odd = materialize(seen.groupBy("__id", "__digest").agg(F.max("goes").alias("goes"), F.count(F.lit(1)).alias("c")).where("goes or c > 1"), "odd").toDF("i", "d", "goes", "c")
+    drop_materialized(narrow)
+    digest = free_name(docs, "digest")
+    rows = docs.withColumn(digest, digest_of(F.col(f"`{text}`")))
+    i, d = free_name(docs, "i"), free_name(docs, "d")
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(i)) & (F.col(digest) == F.col(d))
+    once = rows.join(odd.select(F.col("i").alias(i), F.col("d").alias(d)), same, "left_anti")
+    repeated = rows.join(odd.where("not goes").select(F.col("i").alias(i), F.col("d").alias(d)), same, "left_semi")
+    rank = free_name(docs, "rank")
+    first = F.row_number().over(Window.partitionBy(F.col(f"`{doc_id}`"), digest).orderBy(F.lit(0)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return once.select(*columns).unionAll(repeated.withColumn(rank, first).where(F.col(rank) == 1).select(*columns))
 
 
 ORACLE = """
