@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slicewright.llm.textcols import words_of
+from slicewright.llm.textcols import free_name, words_of
 from slicewright.session import materialize
 
 LEAF = ["domain", "lang", "source"]
@@ -47,8 +47,9 @@ def place(doc_id: Column, epoch: Column, seed: int) -> Column:
 
 
 def _keys(plan: Plan) -> dict[str, Column]:
+    """The columns of a row's leaf, by the names of its levels."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    return {"__domain": domain_of(source, plan.domains), "__lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "__source": source}
+    return {"domain": domain_of(source, plan.domains), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "source": source}
 
 
 def _weight(plan: Plan, level: str) -> Column:
@@ -97,7 +98,7 @@ def thresholds(rows: DataFrame, leaves: DataFrame, plan: Plan) -> DataFrame:
     sums = ranged.groupBy(*LEAF, "range").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
     before = F.sum("n").over(Window.partitionBy(*LEAF).orderBy("range")) - F.col("n")
     last = sums.withColumn("before", before).where("before < rest and before + n >= rest").select(*LEAF, "range", "before")
-    end = ranged.join(F.broadcast(last), [*LEAF, "range"])  # a row per leaf
+    end = ranged.join(last, [*LEAF, "range"])  # a row per leaf, whose measured size decides between broadcast and shuffle
     order = Window.partitionBy(*LEAF).orderBy(F.struct("h", "doc_id"))
     start = F.col("before") + F.sum("n_tokens").over(order) - F.sum("n_tokens").over(Window.partitionBy(*LEAF, "h", "doc_id"))
     within = end.withColumn("start", start).where("start < rest").groupBy(*LEAF).agg(F.max(F.struct("h", "doc_id")).alias("last"))
@@ -105,8 +106,8 @@ def thresholds(rows: DataFrame, leaves: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _plan_rows(docs: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
-    keyed = docs.select(F.col("doc_id"), F.col(f"`{text}`").alias("__t"), F.col("lang"), F.col("source")).withColumns(_keys(plan))
-    return materialize(keyed.select("doc_id", F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.size(words_of(F.col("__t"))).cast("long").alias("n_tokens")), "tokens")
+    leaf = [c.alias(k) for k, c in _keys(plan).items()]
+    return materialize(docs.select("doc_id", *leaf, F.size(words_of(F.col(f"`{text}`"))).cast("long").alias("n_tokens")), "tokens")
 
 
 def _epochs(full: str, last: str, doc_id: str, seed: int) -> Column:
@@ -133,9 +134,10 @@ def mix_documents(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     """The documents themselves, whole and with their own columns, once for each epoch that takes them."""
     plan = plan or Plan()
     rows = _plan_rows(docs, plan)
-    leaves = thresholds(rows, materialize(budgets(rows, plan), "budgets"), plan).select(*[F.col(c).alias(f"__{c}") for c in LEAF], F.col("full").alias("__full"), F.col("last").alias("__last"))
-    taken = docs.withColumns(_keys(plan)).join(materialize(leaves, "plan"), [f"__{c}" for c in LEAF])
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], _epochs("__full", "__last", "doc_id", plan.seed).alias("__epoch")).drop("__epoch")
+    names = {c: free_name(docs, f"leaf_{c}") for c in [*LEAF, "full", "last", "epoch"]}
+    leaves = thresholds(rows, materialize(budgets(rows, plan), "budgets"), plan).select(*[F.col(c).alias(names[c]) for c in [*LEAF, "full", "last"]])
+    taken = docs.withColumns({names[k]: c for k, c in _keys(plan).items()}).join(materialize(leaves, "plan"), [names[c] for c in LEAF])
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], _epochs(names["full"], names["last"], "doc_id", plan.seed).alias(names["epoch"])).drop(names["epoch"])
 
 
 def _oracle(plan: Plan) -> str:
@@ -159,7 +161,7 @@ l as (select domain, lang, source, sum(n_tokens)::bigint as tokens, (sum(n_token
 {share("c", "select l.*, b.give as up from l join b on l.domain = b.domain and l.lang = b.lang", "source", "domain, lang")}
 p as (select domain, lang, source, tokens, floor(give + 1e-6)::bigint as budget from c),
 q as (select *, least(budget // tokens, {plan.max_epochs})::int as whole, budget - least(budget // tokens, {plan.max_epochs}) * tokens as rest from p),
-h as (select d.*, whole, rest, ('0x' || substr(md5('{plan.seed}/' || whole || '/' || doc_id), 1, 15))::bigint as h from d join q using (domain, lang, source)),
+h as (select d.*, whole, rest, ('0x' || substr(md5('{plan.seed}/' || whole || '/' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as h from d join q using (domain, lang, source)),
 s as (select *, sum(n_tokens) over (partition by domain, lang, source order by h, doc_id) - n_tokens as start from h)
 select doc_id, domain, lang, source, e.epoch::int as epoch, n_tokens from s, (select unnest(range(0, {plan.max_epochs + 1})) as epoch) e
 where e.epoch < whole or e.epoch = whole and start < rest
