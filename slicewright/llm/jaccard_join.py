@@ -391,6 +391,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, words: int, threshold: int
     if words < 1 or not 1 <= threshold <= 99:
         raise ValueError("words must be positive, and the threshold from 1 to 99")
     spark = docs.sparkSession
+    release(spark)
     rows = _rows(docs, doc_id, text)
     described = materialize(rows.mapInArrow(_describe(words, threshold), _SETS), "sets")
     listed = described.where("lists is not null")

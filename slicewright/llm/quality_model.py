@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slicewright.llm.textcols import crc_mod
+from slicewright.llm.textcols import crc_mod, free_name
 
 #: Labelled rows that the model is fitted on at most: those with the smallest hashes of their ids.
 SAMPLE = 12_000
+#: Characters that a text which is learnt from has at most; all texts are scored, whatever their length.
+LONGEST = 30_000
 KEEP_AT = 0.7
 
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
@@ -103,11 +105,15 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bins: int
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, sample: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
-    """(text, label) of at most ``sample`` labelled rows outside the held-out fold, those whose ids hash lowest."""
+    """(text, label) of at most ``sample`` labelled rows outside the held-out fold, those whose ids hash lowest.
+
+    Of texts under one id the one with the largest hash counts, and none of over ``LONGEST`` characters.
+    """
     chosen = labels.where(F.col(label).isin(0, 1) & (crc_mod(F.col("doc_id"), folds) != held_out)).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__y"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__y").limit(sample)
     texts = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__t"))
-    return texts.join(F.broadcast(chosen), "__id").select("__t", "__y")
+    found = texts.where(F.coalesce(F.length("__t"), F.lit(0)) <= LONGEST).join(F.broadcast(chosen), "__id")  # at most ``sample`` rows are broadcast
+    return found.groupBy("__id", "__y").agg(F.max_by("__t", F.xxhash64("__t")).alias("__t")).select("__t", "__y")
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +143,10 @@ def with_score(rows: DataFrame, model: Trees, text: str = "text", out: str = "sc
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted. Repeated rows score alike; a null id is never held out."""
+    """One row per input row: doc_id, held_out, score, predicted. Repeated rows score alike; a null id is never held out.
+
+    Null text counts as empty. Other columns, whatever their names, are not read. An empty table gives none; without labels all scores are 1.
+    """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     scored = with_score(rows, train(docs, labels, doc_id=doc_id, text=text))
     return scored.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= KEEP_AT).cast("int").alias("predicted"))
@@ -145,5 +154,5 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, whole and with their own columns."""
-    free = "__score"
+    free = free_name(docs, "score")
     return with_score(docs, train(docs, labels), out=free).where(F.col(free) >= KEEP_AT).drop(free)

@@ -30,7 +30,8 @@ PIECE, STEP = 40, 20
 #: Words whose projected inputs a worker keeps, after which it starts anew.
 CACHE_WORDS = 150_000
 TOXIC_AT = 0.5
-#: Where the line runs in the gap between the lowest toxic and the highest other training text, from the toxic side: unseen words make the other side less sure.
+#: Where the line runs in the gap between the lowest toxic and the highest other text that was learnt from, from the toxic side. It was chosen on rows of the
+#: training fold that were not learnt from: every fifth one, see the README.
 MARGIN = 0.12
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -279,7 +280,10 @@ def _scorer(net: Network):
 
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted. Null text counts as empty, and empty texts have a window of padding; repeated rows score alike; a null id is never held out."""
+    """One row per input row: doc_id, held_out, score, predicted. Null text counts as empty, and empty texts have a window of padding; repeated rows score alike; a null id is never held out.
+
+    Other columns, whatever their names, are not read. An empty table gives none; without labels all scores are near 0.
+    """
     net = train(docs, labels, doc_id=doc_id, text=text)
     held = F.coalesce(crc_mod(F.col(f"`{doc_id}`"), 5) == 0, F.lit(False))
     kind = docs.schema[doc_id].dataType.simpleString()
