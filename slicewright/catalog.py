@@ -7,9 +7,11 @@ column selection, counts and ranges; row work makes a DataFrame.
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import uuid
 from dataclasses import asdict, dataclass, field, replace
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from pyspark.sql import types as T
 from slicewright.session import shared_dir
 
 ORDINALS = ["_slice", "_pos"]
+#: Rows of a slice that one file has at most.
+FILE_ROWS = 1 << 22
 RANGED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
 
 
@@ -56,6 +60,8 @@ class Dataset:
     hashlabel: str | None = None
     filename: str | None = None
     caption: str = ""
+    #: Of a typed or derived dataset, the last link that it was made from.
+    source: str | None = None
 
     @property
     def shape(self) -> tuple[int, int]:
@@ -80,8 +86,8 @@ class Catalog:
     def _load(self) -> None:
         fs, at = self._fs(f"{self.root}/_meta")
         if fs.exists(at):
-            for row in self.spark.read.option("wholetext", True).text(f"{self.root}/_meta").collect():  # one small file per dataset
-                x = json.loads(row[0])
+            rows = self.spark.read.option("wholetext", True).text(f"{self.root}/_meta").collect()  # one small file per dataset
+            for x in sorted((json.loads(row[0], object_hook=_value) for row in rows), key=lambda x: x.pop("number", 0)):
                 self.known[x["id"]] = Dataset(**x | {"columns": {k: Column(**c) for k, c in x["columns"].items()}})
 
     def register(self, ds: Dataset) -> Dataset:
@@ -91,7 +97,7 @@ class Catalog:
             raise DatasetError(f"hashlabel {ds.hashlabel} is not a column")
         fs, at = self._fs(f"{self.root}/_meta/{uuid.uuid4().hex}.json")
         out = fs.create(at, False)
-        out.write(bytearray(json.dumps(asdict(ds), default=str).encode()))
+        out.write(bytearray(json.dumps(asdict(ds) | {"number": len(self.known)}, default=_named).encode()))
         out.close()
         self.known[ds.id] = ds
         return ds
@@ -110,7 +116,7 @@ class Catalog:
 
     # -- writing --
 
-    def write(self, name: str, df: DataFrame, previous: str | None = None, hashlabel: str | None = None, filename: str | None = None, caption: str = "", parent: str | None = None, check_hash=None) -> Dataset:
+    def write(self, name: str, df: DataFrame, previous: str | None = None, hashlabel: str | None = None, filename: str | None = None, caption: str = "", parent: str | None = None, check_hash=None, source: str | None = None) -> Dataset:
         """Store rows that have ``_slice`` and ``_pos``. With ``parent`` the columns extend its rows, of which there must be as many in each slice.
 
         ``check_hash`` (column -> slice expression) makes a row in the wrong slice an error.
@@ -122,13 +128,12 @@ class Catalog:
         physical = {c: f"c{k}" for k, c in enumerate(own)}  # any text may name a column, but not in a file
         path = f"{self.root}/{uuid.uuid4().hex}"
         stored = df.select(*ORDINALS, *[F.col(f"`{c}`").alias(p) for c, p in physical.items()]) if "" not in own else df.toDF(*[c if c in ORDINALS else physical[c] for c in df.columns])
-        stored.repartition("_slice").sortWithinPartitions("_slice", "_pos").write.partitionBy("_slice").parquet(path)
-        back = self.spark.read.parquet(path)
-        counts = {r["_slice"]: r["n"] for r in back.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per slice
+        stored.repartition("_slice", F.floor(F.col("_pos") / FILE_ROWS)).sortWithinPartitions("_slice", "_pos").write.partitionBy("_slice").parquet(path)
+        ranged = [p for c, p in physical.items() if isinstance(df.schema[c].dataType, RANGED)]
+        counts, ranges = counts_and_ranges(self.spark.read.parquet(path), ranged)
         lines = [counts.get(k, 0) for k in range(self.slices)]
         if sum(counts.values()) != sum(lines):
             raise DatasetError(f"rows in slices beyond {self.slices}")
-        ranges = column_ranges(back, [p for c, p in physical.items() if isinstance(df.schema[c].dataType, RANGED)])
         columns = {c: Column(df.schema[c].dataType.simpleString(), path, *ranges.get(p, (None, None)), stored=p) for c, p in physical.items()}
         parents = []
         if parent is not None:
@@ -139,7 +144,7 @@ class Catalog:
                 raise DatasetError("the parent has another hashlabel")
             hashlabel = hashlabel or (base.hashlabel if base.hashlabel not in columns else None)
             columns, parents = base.columns | columns, [base.id]
-        return self.register(Dataset(name, columns, lines, previous, parents, hashlabel, filename, caption))
+        return self.register(Dataset(name, columns, lines, previous, parents, hashlabel, filename, caption, source))
 
     # -- metadata operators: no row is read --
 
@@ -253,13 +258,38 @@ def largest(c):
     return F.coalesce(F.max(F.when(~F.isnan(c), c)), F.max(c))
 
 
-def column_ranges(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
-    """(least, largest) of each column, in one pass."""
-    aggs = []
+def counts_and_ranges(df: DataFrame, columns: list[str]) -> tuple[dict[int, int], dict[str, tuple]]:
+    """Rows of each slice, and (least, largest) of each column, in one pass; a row per slice comes to the driver."""
+    aggs = [F.count(F.lit(1)).alias("n")]
     for c in columns:
         real = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
-        aggs += [least(F.col(c)).alias(f"{c}_low") if real else F.min(c).alias(f"{c}_low"), largest(F.col(c)).alias(f"{c}_high") if real else F.max(c).alias(f"{c}_high")]
-    if not aggs:
-        return {}
-    row = df.agg(*aggs).first()
-    return {c: (row[f"{c}_low"], row[f"{c}_high"]) for c in columns}
+        aggs += [(least if real else F.min)(F.col(c)).alias(f"{c}_low"), (largest if real else F.max)(F.col(c)).alias(f"{c}_high")]
+    rows = df.groupBy("_slice").agg(*aggs).collect()
+
+    def over(pick, name: str):
+        found = [r[name] for r in rows if r[name] is not None]
+        return pick([x for x in found if x == x] or found, default=None)
+
+    return {r["_slice"]: r["n"] for r in rows}, {c: (over(min, f"{c}_low"), over(max, f"{c}_high")) for c in columns}
+
+
+def column_ranges(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
+    """(least, largest) of each column of any rows, in one pass."""
+    return counts_and_ranges(df.select(*[F.col(f"`{c}`") for c in columns]).withColumn("_slice", F.lit(0)), columns)[1]
+
+
+#: How values that JSON has no form for are written, with their kinds.
+_KINDS = {"decimal": (Decimal, str, Decimal), "timestamp": (dt.datetime, dt.datetime.isoformat, dt.datetime.fromisoformat), "date": (dt.date, dt.date.isoformat, dt.date.fromisoformat)}
+
+
+def _named(x):
+    for kind, (of, write, _) in _KINDS.items():
+        if isinstance(x, of):
+            return {f"${kind}": write(x)}
+    return str(x)
+
+
+def _value(x: dict):
+    if len(x) == 1 and (kind := next(iter(x)).removeprefix("$")) in _KINDS and f"${kind}" in x:
+        return _KINDS[kind][2](x[f"${kind}"])
+    return x

@@ -684,10 +684,69 @@ def checksum_sum(spark, sf_dir):
     return out.withColumn("checksum", F.col("checksum").cast("string"))
 
 
-@query("select repeat('0', 32) as checksum")
+_XOR = " || ".join(f"printf('%08x', bit_xor(('0x' || substr(sum, {k}, 8))::bigint))" for k in (1, 9, 17, 25))
+_ORDER_DIGEST = "md5(o_custkey || chr(1) || o_orderkey || chr(1))"
+
+
+@query(f"select {_XOR} as checksum from (select md5(string_agg(h, '' order by h)) as sum from (select year(o_orderdate) as y, {_ORDER_DIGEST} as h from orders) where y between 1997 and 2000 group by y)")
 def checksum_chain(spark, sf_dir):
-    one = aggregate.checksum_sorted(table(spark, sf_dir, "nation"), _NATION).first()["checksum"]
-    return spark.createDataFrame([(aggregate.checksum_chain([one, one]),)], "checksum string")
+    catalog, _ = order_chain(spark, sf_dir)
+    return spark.createDataFrame([(aggregate.checksum_of_chain(catalog, "orders-2000", ["o_orderkey", "o_custkey"], stop="orders-1996"),)], "checksum string")
+
+
+# ---- chains that are typed, and catalogs that are opened again ----
+
+
+def _text_chain(spark, sf_dir) -> Catalog:
+    """Orders as text in three links by remainder of the key; every seventeenth customer is no number."""
+    catalog, before = Catalog(spark, slices=N), None
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("case when o_orderkey % 17 = 0 then 'x' else cast(o_custkey as string) end").alias("customer"), F.col("o_orderstatus").alias("status"))
+    for k in range(3):
+        before = catalog.write(f"text-{k}", deal(number_rows(orders.where(F.col("o_orderkey") % 3 == k), "o_orderkey"), N).drop("_ord"), previous=before).id
+    return catalog
+
+
+_CUSTOMER = typing.TypeSpec({"customer": "int64_10"}, rename={"customer": "c"}, filter_bad=True, discard_untyped=False)
+_TEXT_ORD = "(select *, o_orderkey % 3 as link, row_number() over (partition by o_orderkey % 3 order by o_orderkey) - 1 as ord from orders)"
+
+
+@query(f"select o_orderkey, o_custkey as c, o_orderstatus as status, (ord % 4)::int as slice, row_number() over (partition by ord % 4 order by link, ord) - 1 as pos from {_TEXT_ORD} where o_orderkey % 17 <> 0")
+def type_chain(spark, sf_dir):
+    catalog = _text_chain(spark, sf_dir)
+    ds = typing.type_chain(catalog, "typed", "text-2", _CUSTOMER)
+    return catalog.read(ds).withColumnsRenamed({"_slice": "slice", "_pos": "pos"})
+
+
+@query(f"select o_orderkey, o_custkey as c, link::int as link from {_TEXT_ORD} where o_orderkey % 17 <> 0")
+def type_chain_previous(spark, sf_dir):
+    catalog = _text_chain(spark, sf_dir)
+    for k in range(3):  # each link is typed when it is there, those before it are not typed again
+        typing.type_chain(catalog, f"typed-{k}", f"text-{k}", _CUSTOMER, previous=f"typed-{k - 1}" if k else None)
+    return Scan(catalog, catalog.chain("typed-2"), ["o_orderkey", "c"]).frame().select("o_orderkey", "c", F.col("_chain_ix").alias("link"))
+
+
+@query(f"with o as (select *, {_MD5.format(c='o_custkey')} as slice from {_TEXT_ORD} where o_orderkey % 17 <> 0) select o_orderkey, o_custkey as c, slice, row_number() over (partition by slice order by link, ord % 4, ord) - 1 as pos from o")
+def type_rehash(spark, sf_dir):
+    catalog = _text_chain(spark, sf_dir)
+    ds = typing.type_chain(catalog, "typed", "text-2", _CUSTOMER, hashlabel="c")
+    return catalog.read(ds, ["o_orderkey", "c"]).withColumnsRenamed({"_slice": "slice", "_pos": "pos"})
+
+
+@query(f"select o_orderkey, o_custkey as c, (ord % 4)::int as link, {_MD5.format(c='o_custkey')} as slice from {_TEXT_ORD} where o_orderkey % 17 <> 0")
+def type_as_chain(spark, sf_dir):
+    catalog = _text_chain(spark, sf_dir)
+    ds = typing.type_chain(catalog, "typed", "text-2", _CUSTOMER, as_chain=True, hashlabel="c")
+    return Scan(catalog, catalog.chain(ds.id), ["o_orderkey", "c"]).frame().select("o_orderkey", "c", F.col("_chain_ix").alias("link"), F.col("_slice").alias("slice"))
+
+
+@query("select o_orderkey from orders where o_orderkey >= 9 and o_orderkey < 1000")
+def range_reopened(spark, sf_dir):
+    catalog, before = Catalog(spark, slices=N), None
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("decimal(20,0)").alias("wide"))
+    for k in range(5):
+        before = catalog.write(f"part-{k}", deal(number_rows(orders.where(F.expr(f"o_orderkey div 200 {'>=' if k == 4 else '='} {k}")), "o_orderkey"), N).drop("_ord"), previous=before).id
+    again = Catalog(spark, catalog.root, slices=N)
+    return Scan(again, again.chain(list(again.known)[-1]), ["o_orderkey"], range_={"wide": (9, 1000)}).frame().select("o_orderkey")
 
 
 # ---- text in and out ----

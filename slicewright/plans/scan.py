@@ -139,8 +139,10 @@ def overlaps(ds: Dataset, column: str, bounds: tuple) -> bool:
     if c is None or c.low is None:
         return True
     low, high = bounds
-    same = lambda x: type(c.low)(x) if isinstance(c.low, str) and not isinstance(x, str) else x
-    return (high is None or c.low < same(high)) and (low is None or c.high >= same(low))
+    try:
+        return (high is None or c.low < high) and (low is None or c.high >= low)
+    except TypeError:  # a date and a time, say: only the rows can tell
+        return True
 
 
 def row_window(rows: slice | int, total: int) -> tuple[int, int, int]:

@@ -19,9 +19,9 @@ def append_links(spark: SparkSession, catalog: Catalog, folder: str, schema: Str
         name = f"{job}-{number}"
         if name in catalog.known or batch.isEmpty():
             return
-        before = [k for k in catalog.known if k.startswith(f"{job}-")]
+        before = max((int(k[len(job) + 1 :]) for k in catalog.known if k.startswith(f"{job}-") and k[len(job) + 1 :].isdecimal()), default=None)
         rows = deal(number_rows(prepare(batch) if prepare else batch, *order), catalog.slices).drop("_ord")
-        made.append(catalog.write(name, rows, previous=before[-1] if before else None))
+        made.append(catalog.write(name, rows, previous=None if before is None else f"{job}-{before}"))
 
     query = spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(link).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

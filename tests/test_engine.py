@@ -232,3 +232,30 @@ def test_dates_in_ranges_survive_a_new_session_of_the_catalog(spark):
     c.write("d", rows(spark, [(dt.date(2020, 1, k), k) for k in range(1, 9)], "d date, k int"))
     again = Catalog(spark, c.root, slices=3)
     assert Scan(again, again.chain("d"), ["k"], range_={"d": (dt.date(2020, 1, 3), dt.date(2020, 1, 5))}).frame().count() == 2
+
+
+def test_a_catalog_that_is_read_again_keeps_types_and_order(spark):
+    from decimal import Decimal
+
+    c = Catalog(spark, slices=3)
+    for k in range(12):
+        c.write(f"j/{k}", rows(spark, [(Decimal(9 + 91 * k), dt.datetime(2020, 1, 1 + k), None)], "n decimal(20,0), t timestamp, e int"))
+    again = Catalog(spark, c.root, slices=3)
+    assert list(again.known) == list(c.known)
+    assert again.known == c.known
+    assert again.of_job("j") == [str(k) for k in range(12)]
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    from slicewright.streaming.chains import append_links
+
+    folder, schema = str(tmp_path / "in"), spark.range(1).schema
+    root = Catalog(spark, slices=3).root
+    for k in range(4):
+        c = Catalog(spark, root, slices=3)
+        if not k:
+            c.write("stream-other", rows(spark, [(1,)], "id long"))
+        spark.range(10 * k, 10 * k + 10).write.mode("append").parquet(folder)
+        append_links(spark, c, folder, schema, "stream", ["id"], str(tmp_path / "checkpoint"))
+    assert [d.id for d in c.chain("stream-3")] == [f"stream-{k}" for k in range(4)]
+    assert c.chain("stream-3").lines() == 40
