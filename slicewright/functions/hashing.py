@@ -1,7 +1,7 @@
 """Which slice a value belongs to.
 
 Values of any type become bytes first, so that equal values hash alike whatever their type: None, '', 0, 0.0 and False are
-slice 0, whole floats are their integers, and text is its UTF-8. ``sip_slice`` uses SipHash-2-4 over numpy words; ``md5_slice`` needs no Python and has a twin in SQL.
+slice 0, whole floats are their integers, and text is its UTF-8. ``sip_slice`` uses SipHash-2-4 in Python, once for each distinct value of a batch; ``md5_slice`` needs no Python and has a twin in SQL.
 """
 
 from __future__ import annotations
