@@ -37,6 +37,8 @@ END_ID = 0
 WINDOW, AVERAGE, LEAST, MOST = 16, 512, 128, 4096
 #: Entries of a worker's word cache, a bound on its memory: of two halves the older one goes when the newer one is full.
 CACHE_WORDS = 1_600_000
+#: New words that are encoded as one text; the tokenizer's time for a word grows with the length of the text that it is in.
+JOINED = 200
 #: Characters of the texts whose words are numbered together; a longer text is a group of its own.
 GROUP_CHARS = 8_000_000
 
@@ -56,7 +58,7 @@ class Encoder:
     The byte-level pattern never joins a word to the single space that follows it, so a text without other white
     space beside a space can be cut before each space; other texts are encoded whole, and so are texts with the content of an
     added token, such as <|endoftext|>, which the tokenizer matches before anything else. A group of texts is cut and its words are numbered by
-    Arrow; only distinct words are looked up, and the ids are put together by their numbers. New words are encoded many at a time:
+    Arrow; only distinct words are looked up, and the ids are put together by their numbers. New words are encoded ``JOINED`` at a time:
     only the first token of a space-led word starts with the vocabulary's sign for a space, which tells the words apart again.
     """
 
@@ -77,21 +79,20 @@ class Encoder:
     def _has_added(self, text: str) -> bool:
         return any(content in text for content in self.added)
 
-    def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 2000):
-            words = new[at : at + 2000]
+    def _learn(self, new: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(new), JOINED):
+            words = new[at : at + JOINED]
             joined = " " + " ".join(words)
             if self._has_added(joined):  # an added token with a space in it, over two words that no text has side by side
-                self.words.update(zip(words, self._whole([" " + w for w in words]), strict=True))
+                out += self._whole([" " + w for w in words])
                 continue
             data = self._whole([joined])[0]
             ends = [*(4 * np.flatnonzero(self.leads[np.frombuffer(data, "<u4")])[1:]).tolist(), len(data)]
             if len(ends) != len(words):
                 raise ValueError("words do not come apart: the vocabulary is not byte-level")
-            last = 0
-            for word, end in zip(words, ends, strict=True):
-                self.words[word] = data[last:end]
-                last = end
+            out += [data[x:y] for x, y in zip([0, *ends], ends)]
+        return out
 
     def _led(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words with a space before each."""
@@ -101,12 +102,15 @@ class Encoder:
         lacking = [k for k, ids in enumerate(found) if ids is None]
         if self.old:
             for k in lacking:
-                ids = self.old.get(words[k])
+                found[k] = ids = self.old.get(words[k])
                 if ids is not None:
                     self.words[words[k]] = ids
-        self._learn([words[k] for k in lacking if words[k] not in self.words])
-        for k in lacking:
-            found[k] = self.words[words[k]]
+            lacking = [k for k in lacking if found[k] is None]
+        new = [words[k] for k in lacking]
+        learnt = self._learn(new)
+        self.words.update(zip(new, learnt, strict=True))
+        for k, ids in zip(lacking, learnt, strict=True):
+            found[k] = ids
         return found
 
     def _by_words(self, texts: list[str]) -> list[bytes]:
