@@ -130,7 +130,7 @@ class Catalog:
         stored = df.select(*ORDINALS, *[F.col(f"`{c}`").alias(p) for c, p in physical.items()]) if "" not in own else df.toDF(*[c if c in ORDINALS else physical[c] for c in df.columns])
         stored.repartition("_slice", F.floor(F.col("_pos") / FILE_ROWS)).sortWithinPartitions("_slice", "_pos").write.partitionBy("_slice").parquet(path)
         ranged = [p for c, p in physical.items() if isinstance(df.schema[c].dataType, RANGED)]
-        counts, ranges = counts_and_ranges(self.spark.read.parquet(path), ranged)
+        counts, ranges = counts_and_ranges(self.spark.read.schema(stored.schema).parquet(path), ranged)  # without rows there is no file to tell the types
         lines = [counts.get(k, 0) for k in range(self.slices)]
         if sum(counts.values()) != sum(lines):
             raise DatasetError(f"rows in slices beyond {self.slices}")
@@ -200,6 +200,10 @@ class Catalog:
             at = ds.previous
         return Chain(self, out if reverse else out[::-1])
 
+    def made_since(self, previous: str | None, source: str, length: int = -1) -> Chain:
+        """The links up to ``source`` that ``previous``, a dataset derived from the same chain, was not made from."""
+        return self.chain(source, length, self.get(previous).source if previous is not None else None)
+
     # -- reading --
 
     def read(self, ds: str | Dataset, columns: list[str] | None = None) -> DataFrame:
@@ -211,6 +215,9 @@ class Catalog:
         folders: dict[str, list[str]] = {}
         for c in names:
             folders.setdefault(ds.columns[c].path, []).append(c)
+        if not sum(ds.lines):
+            none = T.StructType([T.StructField("_slice", T.IntegerType()), T.StructField("_pos", T.LongType()), *[T.StructField(c, T._parse_datatype_string(ds.columns[c].type)) for c in names]])
+            return self.spark.createDataFrame([], none)
         out = None
         for path, own in folders.items():
             part = self.spark.read.parquet(path).select("_slice", "_pos", *[F.col(ds.columns[c].stored).alias(c) for c in own])
@@ -221,6 +228,12 @@ class Catalog:
 class Chain(list):
     """Datasets in order; what it knows comes from metadata."""
 
+    @property
+    def hashlabel(self) -> str | None:
+        """The hash label that all links have."""
+        found = {d.hashlabel for d in self}
+        return found.pop() if len(found) == 1 else None
+
     def __init__(self, catalog: Catalog, links: list[Dataset]):
         super().__init__(links)
         self.catalog = catalog

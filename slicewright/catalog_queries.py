@@ -129,7 +129,7 @@ def rechain(spark, sf_dir):
 
 @query("select c_name, c_acctbal from customer")
 def project_columns(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_name", "c_acctbal")
+    return _scan(spark, sf_dir, "customer", "c_custkey", columns=["c_name", "c_acctbal"]).select("c_name", "c_acctbal")
 
 
 @query("select c_custkey, c_mktsegment from customer")
@@ -393,7 +393,11 @@ def type_ascii_strict(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t["ok"].alias("ok"), F.length(t["value"]).cast("long").alias("value"))
 
 
-@query()
+_OCTETS = "list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::int)"
+_OCTAL = f"list_aggregate(list_transform({_OCTETS}, lambda b: case when b < 128 then chr(b) else chr(92) || (b // 64) || (b // 8 % 8) || (b % 8) end), 'string_agg', '')"
+
+
+@query(f"select doc_id, h is not null as ok, case when h = '' then '' else {_OCTAL} end as value from (select doc_id, hex(encode(text)) as h from documents)")
 def type_ascii_replace(spark, sf_dir):
     return _typed(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), "ascii")
 
@@ -411,9 +415,10 @@ def type_number(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", t["ok"].alias("ok"), t["value"]["i"].cast("bigint").alias("i"), t["value"]["d"].alias("d"))
 
 
-@query()
+@query("select o_orderkey, true as ok, o_orderkey::double as re, 2::double as im from orders")
 def type_complex(spark, sf_dir):
-    return _typed(table(spark, sf_dir, "orders"), "o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.lit("+2j")), "complex64")
+    out = _typed(table(spark, sf_dir, "orders"), "o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.lit("+2j")), "complex64")
+    return out.select("o_orderkey", "ok", "value.re", "value.im")
 
 
 def _orders_text(spark, sf_dir) -> DataFrame:
@@ -543,6 +548,33 @@ def hashpart(spark, sf_dir):
     return out.select("o_orderkey", F.col("_slice").alias("slice"), F.col("_pos").alias("pos"))
 
 
+_TEXT_CUSTOMER = "case when o_orderkey % 17 = 0 then 'x' else o_custkey::varchar end"
+_TEXT_ORD = "(select *, o_orderkey % 3 as link, row_number() over (partition by o_orderkey % 3 order by o_orderkey) - 1 as ord from orders)"
+
+
+@query(f"with o as (select *, {_MD5.format(c=_TEXT_CUSTOMER)} as slice from {_TEXT_ORD}) select o_orderkey, slice, row_number() over (partition by slice order by link, ord % 4, ord) - 1 as pos from o")
+def hashpart_chain(spark, sf_dir):
+    catalog = _text_chain(spark, sf_dir)
+    ds = repartition.hashpart_chain(catalog, "hashed", "text-2", "customer")
+    return catalog.read(ds, ["o_orderkey"]).withColumnsRenamed({"_slice": "slice", "_pos": "pos"})
+
+
+@query(f"select o_orderkey, case when link < 2 then 0 else 1 + (ord % 4)::int end as link, {_MD5.format(c=_TEXT_CUSTOMER)} as slice from {_TEXT_ORD}")
+def hashpart_as_chain(spark, sf_dir):
+    catalog = _text_chain(spark, sf_dir)
+    repartition.hashpart_chain(catalog, "early", "text-1", "customer")
+    ds = repartition.hashpart_chain(catalog, "late", "text-2", "customer", previous="early", as_chain=True)
+    return Scan(catalog, catalog.chain(ds.id), ["o_orderkey"], hashlabel="customer").frame().select("o_orderkey", F.col("_chain_ix").alias("link"), F.col("_slice").alias("slice"))
+
+
+@query(f"select o_orderkey, (ord % 4)::int as slice, (link // 2)::int as link, row_number() over (partition by link // 2, ord % 4 order by o_orderstatus desc, link, ord) - 1 as pos from {_TEXT_ORD}")
+def sort_chain(spark, sf_dir):
+    catalog = _text_chain(spark, sf_dir)
+    sorting.sort_chain(catalog, "early", "text-1", ["status"], descending=True)
+    ds = sorting.sort_chain(catalog, "late", "text-2", ["status"], descending=True, previous="early")
+    return Scan(catalog, catalog.chain(ds.id), ["o_orderkey"]).frame().withColumnsRenamed({"_slice": "slice", "_pos": "pos", "_chain_ix": "link"})
+
+
 @query("select count(*) as keys, count(*) as placements, (select count(*) from orders) as n_rows from (select distinct o_custkey from orders)")
 def hashpart_colocation(spark, sf_dir):
     placed = table(spark, sf_dir, "orders").withColumn("s", sip_slice(F.col("o_custkey"), N))
@@ -664,18 +696,18 @@ def column_counts(spark, sf_dir):
     return spark.createDataFrame(list(catalog.chain(links[-1].id).column_counts().items()), "column string, links long")
 
 
-_DIGEST = "md5(n_name || chr(1) || n_nationkey || chr(1) || n_regionkey || chr(1))"
-_NATION = ["n_nationkey", "n_name", "n_regionkey"]
+_DIGEST = "md5(o_custkey || chr(1) || o_orderkey || chr(1) || o_orderstatus || chr(1))"
+_DIGESTED = ["o_orderkey", "o_custkey", "o_orderstatus"]
 
 
-@query(f"select md5(string_agg(h, '' order by h)) as checksum from (select {_DIGEST} as h from nation)")
+@query(f"select md5(string_agg(h, '' order by h)) as checksum from (select {_DIGEST} as h from orders)")
 def checksum_sorted(spark, sf_dir):
-    return aggregate.checksum_sorted(table(spark, sf_dir, "nation"), _NATION)
+    return aggregate.checksum_sorted(table(spark, sf_dir, "orders"), _DIGESTED)
 
 
-@query(f"select md5(string_agg({_DIGEST}, '' order by ord % 4, ord // 4)) as checksum from {ord_sql('nation', 'n_nationkey')}")
+@query(f"select md5(string_agg({_DIGEST}, '' order by ord % 4, ord // 4)) as checksum from {ord_sql('orders', 'o_orderkey')}")
 def checksum_unsorted(spark, sf_dir):
-    return aggregate.checksum_ordered(sliced(spark, sf_dir, "nation", "n_nationkey"), _NATION, ["_slice", "_pos"])
+    return aggregate.checksum_ordered(sliced(spark, sf_dir, "orders", "o_orderkey"), _DIGESTED, ["_slice", "_pos"])
 
 
 @query("select sum(('0x' || substr(md5(o_custkey || chr(1) || o_orderkey || chr(1)), 1, 15))::bigint::hugeint)::varchar as checksum, count(*) as n_rows from orders")
@@ -707,7 +739,6 @@ def _text_chain(spark, sf_dir) -> Catalog:
 
 
 _CUSTOMER = typing.TypeSpec({"customer": "int64_10"}, rename={"customer": "c"}, filter_bad=True, discard_untyped=False)
-_TEXT_ORD = "(select *, o_orderkey % 3 as link, row_number() over (partition by o_orderkey % 3 order by o_orderkey) - 1 as ord from orders)"
 
 
 @query(f"select o_orderkey, o_custkey as c, o_orderstatus as status, (ord % 4)::int as slice, row_number() over (partition by ord % 4 order by link, ord) - 1 as pos from {_TEXT_ORD} where o_orderkey % 17 <> 0")
@@ -829,6 +860,67 @@ def csv_export_chain(spark, sf_dir):
     return spark.read.text(_exported(spark, Scan(catalog, links, ["o_orderkey", "o_orderstatus"]).frame())).select(F.col("value").alias("line"))
 
 
+@query("select o_orderkey::varchar || ',' || o_orderstatus as line from orders where year(o_orderdate) >= 1999 union all select 'o_orderkey,o_orderstatus'")
+def csv_export_incremental(spark, sf_dir):
+    catalog, links = order_chain(spark, sf_dir)
+    o, paths = export.ExportOptions(labels=["o_orderkey", "o_orderstatus"]), [f"{shared_dir(spark)}/csv-{uuid.uuid4().hex[:12]}" for _ in range(2)]
+    done = export.export_chain(catalog, links[3].id, paths[0], o)
+    export.export_chain(catalog, links[-1].id, paths[1], o, exported=done.id)
+    return spark.read.text(paths[1]).select(F.col("value").alias("line"))
+
+
+@query("select case when o_orderkey % 2 = 0 then o_orderkey || ',True' else o_orderkey || ',1' end as line from orders union all select 'key,flag'")
+def csv_export_changing_types(spark, sf_dir):
+    catalog = Catalog(spark, slices=N)
+    rows = sliced(spark, sf_dir, "orders", "o_orderkey").select("_ord", F.col("o_orderkey").alias("key"))
+    for k, (kind, flag) in enumerate((("long", F.lit(True)), ("string", F.lit(1)))):
+        link = rows.where(F.col("key") % 2 == k).withColumns({"key": F.col("key").cast(kind), "flag": flag}).drop("_ord")
+        catalog.write(f"part-{k}", deal(number_rows(link, F.col("key").cast("long")), N).drop("_ord"), previous="part-0" if k else None)
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex[:12]}"
+    export.export_chain(catalog, "part-1", path, export.ExportOptions(labels=["key", "flag"]))
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def _imported_chain(spark, sf_dir) -> Catalog:
+    """Orders in two files by remainder of the key, imported as two links; lines of keys by 50 are bad."""
+    catalog, before = Catalog(spark, slices=N), None
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("case when o_orderkey % 50 < 2 then 'a,b' else o_orderstatus end").alias("o_orderstatus"))
+    for k in range(2):
+        rows = number_rows(orders.where(F.col("o_orderkey") % 2 == k), "o_orderkey", name="_pos").withColumn("_slice", F.lit(0))
+        before = csv.import_link(catalog, f"file-{k}", _exported(spark, rows), csv.CsvOptions(allow_bad=True), before).id
+    return catalog
+
+
+@query("select o_orderkey::varchar as o_orderkey, o_orderstatus, (o_orderkey % 2)::int as link from orders where o_orderkey % 50 >= 2")
+def csv_import_chain(spark, sf_dir):
+    catalog = _imported_chain(spark, sf_dir)
+    return Scan(catalog, catalog.chain("file-1")).frame().select(_text("o_orderkey"), _text("o_orderstatus"), F.col("_chain_ix").alias("link"))
+
+
+@query("select o_orderkey || ',a,b' as data, (o_orderkey % 2)::int as link from orders where o_orderkey % 50 < 2")
+def csv_import_chain_bad(spark, sf_dir):
+    catalog = _imported_chain(spark, sf_dir)
+    return Scan(catalog, catalog.chain("file-1/bad"), ["data"]).frame().select(_text("data"), F.col("_chain_ix").alias("link"))
+
+
+def _customers_text(spark, sf_dir) -> str:
+    """Customers with every field quoted and semicolons and quotes in their names."""
+    rows = number_rows(table(spark, sf_dir, "customer"), "c_custkey", name="_pos").select(F.lit(0).alias("_slice"), "_pos", "c_custkey", "c_nationkey", F.replace("c_name", F.lit("#"), F.lit('";"')).alias("c_name"))
+    return _exported(spark, rows, export.ExportOptions(separator=";", quote_fields='"', labels=["c_custkey", "c_name", "c_nationkey"]))
+
+
+@query("""select c_custkey::varchar as key, replace(c_name, '#', '";"') as c_name from customer""")
+def csv_quotes(spark, sf_dir):
+    o = csv.CsvOptions(separator=";", quotes='"', rename={"c_custkey": "key"}, discard={"c_nationkey"})
+    return csv.read_csv(spark, _customers_text(spark, sf_dir), o, N).good.select(_text("key"), _text("c_name"))
+
+
+@query(f"""select c_custkey::varchar as a, replace(c_name, '#', '";"') as b, c_nationkey::varchar as c, ((ord + 1) % 4)::int as slice from {ord_sql('customer', 'c_custkey')} where ord >= 2""")
+def csv_skip_lines(spark, sf_dir):
+    o = csv.CsvOptions(separator=";", quotes=True, labelsonfirstline=False, labels=[" a", "b ", "c"], strip_labels=True, skip_lines=3)
+    return csv.read_csv(spark, _customers_text(spark, sf_dir), o, N).good.select(_text("a"), _text("b"), _text("c"), F.col("_slice").alias("slice"))
+
+
 # ---- inspection, log, extensions ----
 
 
@@ -909,7 +1001,7 @@ def flagship(spark, sf_dir):
     text = orders.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_totalprice").cast("string").alias("price"), "o_orderpriority")
     spec = typing.TypeSpec({"day": "date:%Y-%m-%d", "price": "float64"})
     links = []
-    for year in (1996, 1997, 1998):
+    for year in range(1995, 2002):
         rows = deal(number_rows(text.where(F.col("day").startswith(str(year))), "o_orderkey"), N).drop("_ord")
         links.append(catalog.write(f"typed-{year}", typing.dataset_type(rows, spec), previous=links[-1].id if links else None))
     scan = Scan(catalog, catalog.chain(links[-1].id), ["o_orderpriority", "price"], range_={"day": (dt.date(1996, 6, 1), dt.date(1998, 3, 1))})

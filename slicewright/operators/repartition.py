@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slicewright.catalog import Catalog, Dataset
 from slicewright.functions.hashing import md5_slice
+from slicewright.plans.ordinals import dense_places
+from slicewright.plans.scan import Scan
 
 
 def hashpart(df: DataFrame, column: str, slices: int, how: Callable[[Column, int], Column] = md5_slice, spread_null: bool = False) -> DataFrame:
@@ -22,6 +25,23 @@ def hashpart(df: DataFrame, column: str, slices: int, how: Callable[[Column, int
     return placed.withColumn("__at", place).drop(*old).withColumnsRenamed({"__to": "_slice", "__at": "_pos"})
 
 
+def hashpart_chain(catalog: Catalog, name: str, source: str, hashlabel: str, previous: str | None = None, length: int = -1, as_chain: bool = False, how: Callable[[Column, int], Column] = md5_slice) -> Dataset:
+    """The links up to ``source`` hashed on a column, in the order of link, old slice and place.
+
+    Links that ``previous`` was made from are left out, ``length`` bounds their number. One dataset, or with ``as_chain`` a link for
+    each old slice, ``name/0`` on, the last one called ``name``. A chain without links is an error.
+    """
+    rows = Scan(catalog, catalog.made_since(previous, source, length)).frame().withColumn("_old", F.col("_slice"))
+    rows = rows.withColumn("_slice", how(F.col(f"`{hashlabel}`"), catalog.slices))
+    order = ("_chain_ix", "_old", "_pos")
+    if not as_chain:
+        return catalog.write(name, dense_places(rows, *order), previous, hashlabel, source=source)
+    for k in range(catalog.slices):
+        own = name if k == catalog.slices - 1 else f"{name}/{k}"
+        previous = catalog.write(own, dense_places(rows.where(F.col("_old") == k), *order), previous, hashlabel, source=source).id
+    return catalog.get(previous)
+
+
 def discard_wrong(df: DataFrame, column: str, slices: int, how: Callable[[Column, int], Column] = md5_slice) -> DataFrame:
     """Only the rows that are in the slice of their value."""
     return df.where(how(F.col(f"`{column}`"), slices) == F.col("_slice"))

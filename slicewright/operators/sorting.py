@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slicewright.catalog import Catalog, Dataset
 from slicewright.plans.ordinals import number_rows
+from slicewright.plans.scan import Scan
 
 #: What null sorts as, by type; it ties with the real value. Other types sort null first.
 _NULLS = {"string": "", "int": -(2**31), "bigint": -(2**63), "float": float("-inf"), "double": float("-inf"), "boolean": None}
@@ -43,6 +45,12 @@ def sort_within(df: DataFrame, columns: list[str], descending: bool = False) ->
     return df.withColumn("_new", place).drop("_pos", "_chain_ix").withColumnRenamed("_new", "_pos")
 
 
+def sort_chain(catalog: Catalog, name: str, source: str, columns: list[str], descending: bool = False, previous: str | None = None, length: int = -1) -> Dataset:
+    """The links up to ``source`` as one dataset, each slice sorted; links that ``previous`` was made from are left out, and a hash label of all links stays."""
+    chain = catalog.made_since(previous, source, length)
+    return catalog.write(name, sort_within(Scan(catalog, chain).frame(), columns, descending), previous, chain.hashlabel, source=source)
+
+
 def boundaries(total: int, slices: int) -> list[int]:
     """The first row of each slice when rows are dealt evenly, the first slices taking the rest."""
     each, rest = divmod(total, slices)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from slicewright.catalog import Catalog, Dataset
 from slicewright.functions.converters import converter
 from slicewright.functions.hashing import md5_slice
-from slicewright.plans.ordinals import number_rows
+from slicewright.plans.ordinals import dense_places
 from slicewright.plans.scan import Scan
 
 #: Bad line numbers that a report lists.
@@ -79,13 +79,6 @@ def dataset_type(df: DataFrame, spec: TypeSpec) -> DataFrame:
     return rows.select(*[c for c in df.columns if c.startswith("_")], *columns)
 
 
-def _replaced(rows: DataFrame, *order: str) -> DataFrame:
-    """Rows with places dense from 0 in each slice, in the order given; no task sees a slice as a whole."""
-    numbered = number_rows(rows, "_slice", *order, name="_n")
-    starts = F.broadcast(numbered.groupBy("_slice").agg(F.min("_n").alias("_start")))  # a row per slice
-    return numbered.join(starts, "_slice").withColumn("_pos", F.col("_n") - F.col("_start")).drop("_n", "_start", *[c for c in order if c != "_pos"])
-
-
 def type_chain(
     catalog: Catalog, name: str, source: str, spec: TypeSpec, previous: str | None = None, length: int = -1, as_chain: bool = False, hashlabel: str | None = None, how: Callable[[Column, int], Column] = md5_slice
 ) -> Dataset:
@@ -95,8 +88,7 @@ def type_chain(
     their value, in the order of link, old slice and place. ``as_chain`` makes a link of its own for each old slice, ``name/0`` on, the last one called ``name``. Places are dense
     again after ``filter_bad``; a chain without links is an error.
     """
-    stop = catalog.get(previous).source if previous is not None else None
-    chain = catalog.chain(source, length, stop)
+    chain = catalog.made_since(previous, source, length)
     typed = dataset_type(Scan(catalog, chain).frame(), spec)
     if hashlabel is not None:
         typed = typed.withColumn("_old", F.col("_slice")).withColumn("_slice", how(F.col(f"`{hashlabel}`"), catalog.slices))
@@ -105,11 +97,11 @@ def type_chain(
     order = [c for c in ("_chain_ix", "_old", "_pos") if c in typed.columns]
     label = hashlabel if hashlabel is not None else next((n for n in [chain[-1].hashlabel] if n in spec.out_names(sorted(chain[-1].columns)) and n not in spec.types and n not in spec.rename), None)
     if not as_chain:
-        return catalog.write(name, _replaced(typed, *order), previous, label, source=source)
+        return catalog.write(name, dense_places(typed, *order), previous, label, source=source)
     out = previous
     for k in range(catalog.slices):
         last = k == catalog.slices - 1
-        out = catalog.write(name if last else f"{name}/{k}", _replaced(typed.where(F.col("_old") == k), *order), out, label, source=source).id
+        out = catalog.write(name if last else f"{name}/{k}", dense_places(typed.where(F.col("_old") == k), *order), out, label, source=source).id
     return catalog.get(out)
 
 

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewright.plans.ordinals import number_rows
+from slicewright.catalog import Catalog, Dataset
+from slicewright.plans.ordinals import deal, number_rows
 from slicewright.session import materialize, shared_dir
 
 
@@ -168,6 +169,15 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None,
     return Imported(good, bad, lines.where("skip").select("lineno", "data"), kept)
 
 
+def import_link(catalog: Catalog, name: str, path: str, options: CsvOptions | None = None, previous: str | None = None) -> Dataset:
+    """A file as a link of a chain, with ``name/bad`` and ``name/skipped`` beside it, which follow those of ``previous``."""
+    got = read_csv(catalog.spark, path, options, catalog.slices)
+    for kind, rows in (("bad", got.bad), ("skipped", got.skipped)):
+        before = f"{previous}/{kind}" if f"{previous}/{kind}" in catalog.known else None
+        catalog.write(f"{name}/{kind}", deal(number_rows(rows, "lineno"), catalog.slices).drop("_ord"), before, filename=path)
+    return catalog.write(name, got.good, previous, filename=path)
+
+
 def read_zip(spark: SparkSession, path: str, options: CsvOptions | None = None, include: str | None = None, exclude: str | None = None, strip_dirs: bool = False, slices: int = 4) -> dict[str, Imported]:
     """Each file in a local zip archive by its cleaned name; the archive's index is read on the driver, and members go to the shared folder."""
     import re

@@ -259,3 +259,40 @@ def test_stream_goes_on_after_a_restart(spark, tmp_path):
         append_links(spark, c, folder, schema, "stream", ["id"], str(tmp_path / "checkpoint"))
     assert [d.id for d in c.chain("stream-3")] == [f"stream-{k}" for k in range(4)]
     assert c.chain("stream-3").lines() == 40
+
+
+def test_dataset_without_rows(spark):
+    c = Catalog(spark, slices=3)
+    c.write("none", rows(spark, [], "a int, b string"))
+    again = Catalog(spark, c.root, slices=3)
+    assert again.get("none").lines == [0, 0, 0]
+    out = again.read("none")
+    assert out.columns == ["_slice", "_pos", "a", "b"] and dict(out.dtypes)["a"] == "int" and out.count() == 0
+
+
+def test_chains_are_hashed_and_sorted_from_where_the_last_one_ended(spark, catalog):
+    repartition.hashpart_chain(catalog, "h1", "link1", "b")
+    late = repartition.hashpart_chain(catalog, "h2", "link2", "b", previous="h1")
+    assert (sum(late.lines), late.hashlabel, late.previous, late.source) == (10, "b", "h1", "link2")
+    assert all(r["_slice"] == r["want"] for r in catalog.read(late).withColumn("want", md5_slice(F.col("b"), 3)).collect())
+    parts = repartition.hashpart_chain(catalog, "h3", "link2", "a", as_chain=True)
+    assert [d.id for d in catalog.chain(parts.id)] == ["h3/0", "h3/1", "h3"] and catalog.chain(parts.id).lines() == 30
+    done = sorting.sort_chain(catalog, "s", "link2", ["a"], descending=True)
+    for k in range(3):
+        got = [r["a"] for r in catalog.read(done).where(F.col("_slice") == k).orderBy("_pos").collect()]
+        assert got == sorted(got, reverse=True) and len(got) == done.lines[k]
+    assert sorting.sort_chain(catalog, "s2", "h2", ["a"]).hashlabel == "b"
+
+
+def test_chain_export_goes_on_and_imports_as_a_chain(spark, catalog, tmp_path):
+    done = export.export_chain(catalog, "link1", str(tmp_path / "first"))
+    export.export_chain(catalog, "link2", str(tmp_path / "then"), exported=done.id)
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "then")).collect()) == sorted(["a,b", *[f"{20 + i},v{i}" for i in range(10)]])
+    with pytest.raises(DatasetError):
+        export.export_chain(catalog, "link2", str(tmp_path / "none"), exported="link2")
+    export.export_chain(catalog, "link2", str(tmp_path / "sliced"), sliced=True)
+    assert sum(r[0] == "a,b" for r in spark.read.text(str(tmp_path / "sliced")).collect()) == 3
+    new = Catalog(spark, slices=3)
+    csv.import_link(new, "one", str(tmp_path / "first"))
+    csv.import_link(new, "two", str(tmp_path / "then"), previous="one")
+    assert (new.chain("two").lines(), new.chain("two/bad").lines(), new.get("two/skipped").previous) == (30, 0, "one/skipped")
