@@ -15,7 +15,6 @@ Reading looks each digest up, checks every chunk against its address, every docu
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import uuid
 import zlib
@@ -44,12 +43,12 @@ GROUP_CHARS = 8_000_000
 
 _STREAM = "kind string, key binary, doc_id long, n_tokens long, ids_crc32 long, digests array<binary>, payload binary"
 _PLACED = "doc_id long, local_start long, n_tokens long, ids_crc32 long, digests array<binary>, part int, block int, block_root binary"
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+_OTHER_SPACE = [c for c in map(chr, range(1 << 16)) if c.isspace() and c not in " \n"]
 
 
 def single_spaced(text: str) -> bool:
     """Whether each space of a text has other than white space on both sides (tabs and the like are not looked into)."""
-    return not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or "\0" in text or _OTHER_SPACE.search(text))
+    return not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or "\0" in text or any(c in text for c in _OTHER_SPACE))
 
 
 class Encoder:
