@@ -55,6 +55,14 @@ class Job:
     seconds: float = 0.0
     subjobs: list[str] = field(default_factory=list)
     current: bool = True
+    kept: bool = False
+
+
+@dataclass(frozen=True)
+class Ref:
+    """What a job of another session has of a dataset that it took."""
+
+    id: str
 
 
 class JobList(list):
@@ -82,10 +90,39 @@ class JobList(list):
 class Builder:
     """Builds jobs, or finds them: a job is reused if its method's source, options and inputs are the same and its subjobs are current."""
 
-    def __init__(self):
+    def __init__(self, path: str | None = None):
+        """``path`` is a file of jobs, as JSON lines, that outlive the session: those whose options and results JSON can hold, and whose inputs and subjobs are kept too."""
+        self.path = path
         self.jobs: list[Job] = []
         self.made = JobList()
         self._depth: list[Job] = []
+        if path and os.path.exists(path):
+            with open(path) as f:
+                for line in f:
+                    self.jobs.append(self._restored(json.loads(line)))
+        self._next = 1 + max((int(j.id.rpartition("-")[2]) for j in self.jobs), default=-1)
+
+    def _restored(self, record: dict) -> Job:
+        known = {j.id: j for j in self.jobs}
+        value = lambda v: known.get(v["$id"], Ref(v["$id"])) if isinstance(v, dict) and set(v) == {"$id"} else v
+        return Job(**record | {"params": {g: {k: value(v) for k, v in x.items()} for g, x in record["params"].items()}}, kept=True)
+
+    def _keep(self, job: Job) -> None:
+        kept = {j.id for j in self.jobs if j.kept}
+        inputs = {getattr(v, "id", v) for v in job.params["jobs"].values() if v is not None}
+        if self.path is None or not kept >= inputs | set(job.subjobs):
+            return
+        params = {g: {k: {"$id": v.id} if hasattr(v, "id") else v for k, v in x.items()} for g, x in job.params.items()}
+        try:
+            text = json.dumps({"id": job.id, "method": job.method, "fingerprint": job.fingerprint, "params": params, "result": job.result, "seconds": job.seconds, "subjobs": job.subjobs})
+        except (TypeError, ValueError):
+            return
+        again = self._restored(json.loads(text))
+        if self.fingerprint(job.method, again.params) != job.fingerprint or again.result != job.result:
+            return
+        with open(self.path, "a") as f:
+            f.write(text + "\n")
+        job.kept = True
 
     def params(self, name: str, kwargs: dict[str, Any]) -> dict[str, dict]:
         """Keywords by what the method says they are; unknown or ambiguous ones are errors."""
@@ -106,7 +143,11 @@ class Builder:
         return hashlib.sha1(text.encode()).hexdigest()
 
     def is_current(self, job: Job) -> bool:
-        return job.current and all(self.is_current(j) for j in self.jobs if j.id in job.subjobs)
+        """Whether its method is as it was, and its subjobs are current."""
+        m = METHODS.get(job.method)
+        if m is None or not job.current or all(self.fingerprint(job.method, job.params, s) != job.fingerprint for s in (m.source_hash, *m.equivalent)):
+            return False
+        return all(self.is_current(j) for j in self.jobs if j.id in job.subjobs)
 
     def build(self, name: str, force: bool = False, **kwargs) -> Job:
         if len(self._depth) >= DEEPEST:
@@ -116,7 +157,8 @@ class Builder:
         prints = {self.fingerprint(name, groups, s) for s in (m.source_hash, *m.equivalent)}
         found = next((j for j in reversed(self.jobs) if j.fingerprint in prints and self.is_current(j)), None)
         if found is None or force:
-            job = Job(f"{name}-{len(self.jobs)}", name, self.fingerprint(name, groups), groups)
+            job = Job(f"{name}-{self._next}", name, self.fingerprint(name, groups), groups)
+            self._next += 1
             self._depth.append(job)
             began = time.time()
             try:
@@ -127,6 +169,7 @@ class Builder:
                 self._depth.pop()
             job.seconds = time.time() - began
             self.jobs.append(job)
+            self._keep(job)
             found = job
         if self._depth:
             self._depth[-1].subjobs.append(found.id)

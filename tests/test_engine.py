@@ -2,13 +2,14 @@
 
 import datetime as dt
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from slicewright.catalog import Catalog, DatasetError, SkipDataset
 from slicewright.functions.hashing import md5_slice
-from slicewright.jobs import Builder, JobError, JobList, BuildLog, method, timestamp
+from slicewright.jobs import METHODS, Builder, BuildLog, JobError, JobList, method, timestamp
 from slicewright.operators import aggregate, inspect, repartition, sorting, typing
 from slicewright.plans.ordinals import deal, number_rows
 from slicewright.plans.scan import Scan, row_window
@@ -184,6 +185,11 @@ def double(options, builder):
     return options["n"] * 2
 
 
+@method(options={"n": 1})
+def outer(options, builder):
+    return builder.build("double", n=options["n"]).result
+
+
 def test_jobs():
     b = Builder()
     one = b.build("double", n=3)
@@ -198,6 +204,34 @@ def test_jobs():
         b.build("double", m=1)
 
 
+def test_jobs_outlive_the_session(tmp_path):
+    path = str(tmp_path / "jobs")
+    first = Builder(path)
+    one = first.build("double", n=3)
+    two = first.build("double", n=4, previous=one)
+    unkept = first.build("double", n=(3,))  # JSON has no tuples
+    late = first.build("double", n=7, previous=unkept)
+    assert [j.kept for j in (one, two, unkept, late)] == [True, True, False, False]
+    again = Builder(path)
+    found = again.build("double", n=3)
+    assert (found.id, found.result, len(again.jobs)) == (one.id, 6, 2)
+    assert again.build("double", n=4, previous=found).id == two.id
+    assert [j.id for j in again.chain(again.jobs[1])] == [one.id, two.id]
+    new = again.build("double", n=5)
+    assert new.id not in (one.id, two.id) and Builder(path).build("double", n=5).id == new.id
+
+
+def test_a_changed_method_makes_its_jobs_and_those_above_build_again(tmp_path, monkeypatch):
+    path = str(tmp_path / "jobs")
+    first = Builder(path)
+    outer = first.build("outer", n=2)
+    assert len({j.id for j in first.jobs}) == 2
+    assert Builder(path).build("outer", n=2).id == outer.id
+    monkeypatch.setitem(METHODS, "double", replace(METHODS["double"], run=lambda options: options["n"] * 3))
+    again = Builder(path).build("outer", n=2)
+    assert again.id != outer.id and again.result == 6
+
+
 def test_log(tmp_path):
     path = str(tmp_path / "log")
     log = BuildLog(path)
