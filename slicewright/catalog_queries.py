@@ -54,13 +54,20 @@ def ord_sql(name: str, key: str) -> str:
     return f"(select *, row_number() over (order by {key}) - 1 as ord from {name})"
 
 
+def years_of(orders: DataFrame, day: str) -> range:
+    """The years from the first to the last order."""
+    low, high = orders.agg(F.min(F.year(day)), F.max(F.year(day))).first()
+    return range(0) if low is None else range(low, high + 1)
+
+
 def order_chain(spark: SparkSession, sf_dir: str) -> tuple[Catalog, list[Dataset]]:
-    """Orders as a chain of links by year, oldest first, each dealt by order key."""
+    """Orders as a chain of links by year, oldest first, each dealt by order key; those without a date are in the first."""
     catalog = Catalog(spark, slices=N)
     orders = table(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
     links, before = [], None
-    for year in range(1995, 2002):
-        rows = deal(number_rows(orders.where(F.year("day") == year), "o_orderkey"), N).drop("_ord", "o_orderdate")
+    for year in (years := years_of(orders, "day")):
+        mine = F.coalesce(F.year("day"), F.lit(years[0])) == year
+        rows = deal(number_rows(orders.where(mine), "o_orderkey"), N).drop("_ord", "o_orderdate")
         ds = catalog.write(f"orders-{year}", rows, previous=before)
         links.append(ds)
         before = ds.id
@@ -89,7 +96,7 @@ def scan_roundrobin(spark, sf_dir):
     return number_rows(scan.frame(), *scan.order(), name="r").select("n_name", (F.col("r") + 1).alias("rank"))
 
 
-_LINK = "(year(o_orderdate) - 1995)::int"
+_LINK = "coalesce(year(o_orderdate) - (select min(year(o_orderdate)) from orders), 0)::int"
 
 
 @query(f"select o_orderkey, {_LINK} as link from orders")
@@ -690,7 +697,7 @@ def slice_balance(spark, sf_dir):
     return aggregate.slice_balance(placed).select(F.col("_slice").alias("slice"), "lines", F.round("percent", 6).cast("double").alias("percent"))
 
 
-@query("select c as column, 7::bigint as links from (values ('o_orderkey'), ('o_custkey'), ('o_orderstatus'), ('o_totalprice'), ('o_orderpriority'), ('day')) t(c)")
+@query("select c as column, (select max(year(o_orderdate)) - min(year(o_orderdate)) + 1 from orders)::bigint as links from (values ('o_orderkey'), ('o_custkey'), ('o_orderstatus'), ('o_totalprice'), ('o_orderpriority'), ('day')) t(c)")
 def column_counts(spark, sf_dir):
     catalog, links = order_chain(spark, sf_dir)
     return spark.createDataFrame(list(catalog.chain(links[-1].id).column_counts().items()), "column string, links long")
@@ -1001,8 +1008,8 @@ def flagship(spark, sf_dir):
     text = orders.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_totalprice").cast("string").alias("price"), "o_orderpriority")
     spec = typing.TypeSpec({"day": "date:%Y-%m-%d", "price": "float64"})
     links = []
-    for year in range(1995, 2002):
-        rows = deal(number_rows(text.where(F.col("day").startswith(str(year))), "o_orderkey"), N).drop("_ord")
+    for year in years_of(text, "day"):
+        rows = deal(number_rows(text.where(F.year("day") == year), "o_orderkey"), N).drop("_ord")
         links.append(catalog.write(f"typed-{year}", typing.dataset_type(rows, spec), previous=links[-1].id if links else None))
     scan = Scan(catalog, catalog.chain(links[-1].id), ["o_orderpriority", "price"], range_={"day": (dt.date(1996, 6, 1), dt.date(1998, 3, 1))})
     return scan.frame().groupBy("o_orderpriority").agg(F.round(F.sum("price"), 2).alias("total"), F.count(F.lit(1)).alias("n"))
