@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slicewright.llm.sieve import sieve
 from slicewright.llm.textcols import ascii_lower, free_name
 from slicewright.session import drop_materialized, materialize
 
@@ -67,7 +68,7 @@ def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, whole and with their own columns; rules as for :func:`decide`. Of rows that share id and text one stays.
 
-    Which rows go is found from ids and digests alone; the texts themselves are only filtered, unless their rows are repeated.
+    Which rows go is found from ids and digests alone; a text is only shuffled if its id may be that of a row that goes or is repeated.
     """
     narrow = materialize(_narrow(docs, doc_id, text), "digests")
     lost, rest = split(narrow, winners(narrow))
@@ -77,16 +78,20 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     seen = ranked.select("__id", "__digest", goes.alias("goes")).unionAll(lost.select("__id", "__digest", F.lit(True)))
     odd = materialize(seen.groupBy("__id", "__digest").agg(F.max("goes").alias("goes"), F.count(F.lit(1)).alias("c")).where("goes or c > 1"), "odd").toDF("i", "d", "goes", "c")
     drop_materialized(narrow)
+    maybe, clear = sieve(docs, F.col(f"`{doc_id}`"), odd.select("i"))
     digest = free_name(docs, "digest")
-    rows = docs.withColumn(digest, digest_of(F.col(f"`{text}`")))
+    rows = maybe.withColumn(digest, digest_of(F.col(f"`{text}`")))
     i, d = free_name(docs, "i"), free_name(docs, "d")
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col(i)) & (F.col(digest) == F.col(d))
-    once = rows.join(odd.select(F.col("i").alias(i), F.col("d").alias(d)), same, "left_anti")
-    repeated = rows.join(odd.where("not goes").select(F.col("i").alias(i), F.col("d").alias(d)), same, "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = rows.join(odd.select(F.col("i").alias(i), F.col("d").alias(d)), same, "left_anti").select(*columns)
+    again = odd.where("not goes")
+    if again.isEmpty():
+        return clear.unionAll(once)
+    repeated = rows.join(again.select(F.col("i").alias(i), F.col("d").alias(d)), same, "left_semi")
     rank = free_name(docs, "rank")
     first = F.row_number().over(Window.partitionBy(F.col(f"`{doc_id}`"), digest).orderBy(F.lit(0)))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return once.select(*columns).unionAll(repeated.withColumn(rank, first).where(F.col(rank) == 1).select(*columns))
+    return clear.unionAll(once).unionAll(repeated.withColumn(rank, first).where(F.col(rank) == 1).select(*columns))
 
 
 ORACLE = """

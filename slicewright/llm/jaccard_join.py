@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slicewright.llm.components import components
+from slicewright.llm.sieve import sieve
 from slicewright.llm.textcols import free_name
 from slicewright.session import drop_materialized, materialize, release
 
@@ -409,8 +410,8 @@ def _classes(docs: DataFrame, doc_id: str, text: str, words: int, threshold: int
     lowest_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("low")
     classes = described.where("class is not null").groupBy("class").agg(lowest_row, F.count(F.lit(1)).alias("copies"), F.first("block").alias("size"))
     classes = materialize(classes.select("class", F.col("low.doc_id").alias("first"), F.col("low.digest").alias("digest"), "copies", "size"), "classes")
-    likely = classes.join(maybe, "class", "left_semi").select("class", "first", F.col("digest").alias("of"), "copies", "size")
-    texts = rows.join(likely, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("of"))).select("text", "class", "copies", "size")
+    likely = materialize(classes.join(maybe, "class", "left_semi").select("class", "first", F.col("digest").alias("of"), "copies", "size"), "likely")
+    texts = sieve(rows, F.col("doc_id"), likely.select("first"))[0].join(likely, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("of"))).select("text", "class", "copies", "size")
     sets = materialize(texts.mapInArrow(_tokens(words, threshold), _TOKENS), "tokens")
     release(spark)
     listed = sets.select(F.posexplode("lists").alias("at", "list"), "class", "own", "need_own", "need_next").withColumn("next", F.col("at") >= F.col("own"))
@@ -438,7 +439,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, words: int, threshold: int
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"), F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest", "class")).alias("low"))
     by_class = named.join(lowest, "root").select("class", "component_id", "n_links", "first", "digest", (F.col("low.class") == F.col("class")).alias("stays"))
     by_class = materialize(by_class, "by_class")
-    for used in (maybe, classes, sets, verified):
+    for used in (maybe, likely, classes, sets, verified):
         drop_materialized(used)
     return described, by_class
 
@@ -471,11 +472,15 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     for used in (described, by_class):
         drop_materialized(used)
     given, hashed = free_name(docs, "id"), free_name(docs, "hash")
-    rows = docs.withColumns({given: F.col(f"`{doc_id}`").cast("long"), hashed: F.xxhash64(F.col(f"`{text}`").cast("string"))})
+    # texts are only shuffled if their id may be one of these
+    some, clear = sieve(docs, F.col(f"`{doc_id}`").cast("long"), decided.select("doc_id"))
+    rows = some.withColumns({given: F.col(f"`{doc_id}`").cast("long"), hashed: F.xxhash64(F.col(f"`{text}`").cast("string"))})
     same = lambda table: F.col(given).eqNullSafe(table["doc_id"]) & (F.col(hashed) == table["digest"])
     odd, again = decided.select("doc_id", "digest"), decided.where("not goes").select("doc_id", "digest")
-    once = rows.join(odd, same(odd), "left_anti").drop(given, hashed)
+    kept = clear.unionAll(rows.join(odd, same(odd), "left_anti").drop(given, hashed))
+    if again.isEmpty():
+        return kept
     # of repeated rows one stays: the partial limit of each task goes before the shuffle
     repeated, rank = rows.join(again, same(again), "left_semi"), free_name(docs, "rank")
     order = F.row_number().over(Window.partitionBy(given, hashed).orderBy(F.lit(0)))
-    return once.unionAll(repeated.withColumn(rank, order).where(F.col(rank) == 1).drop(given, hashed, rank))
+    return kept.unionAll(repeated.withColumn(rank, order).where(F.col(rank) == 1).drop(given, hashed, rank))
