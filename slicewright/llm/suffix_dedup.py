@@ -21,9 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slicewright.llm.sieve import sieve
 from slicewright.session import drop_materialized, materialize, release
 
 LENGTH, GRAM = 100, 32
@@ -311,11 +312,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, (*[pa.int64()] * 4, pa.string()), strict=True)], names=names)
 
 
+def _place(docs: DataFrame, doc_id: str) -> Column:
+    return F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(1 << 63)))
+
+
 def _documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, doc, digest, text: null ids come first, null texts are empty; ``doc`` and ``digest`` together are a document."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     digest = F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32))
-    return rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), digest.alias("digest"), "text")
+    return rows.select("doc_id", _place(rows, "doc_id").alias("doc"), digest.alias("digest"), "text")
 
 
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -328,15 +333,19 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
     whole = materialize(copies.where("doc > first").select(*document).distinct(), "whole")
     twins = materialize(copies.where("doc = first").groupBy(*document).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twins")
     listed = materialize(long.mapInArrow(_list_anchors, "doc long, digest binary, anchors array<bigint>"), "anchors")
-    singles = listed.join(whole, document, "left_anti")
-    singles = singles.join(twins, document, "left_anti").unionByName(singles.join(twins, document, "left_semi").dropDuplicates(document))
+    maybe, clear = sieve(listed, F.col("doc"), whole.select("doc").unionAll(twins.select("doc")))
+    singles = maybe.join(whole, document, "left_anti")
+    if not twins.isEmpty():
+        singles = singles.join(twins, document, "left_anti").unionByName(singles.join(twins, document, "left_semi").dropDuplicates(document))
+    singles = clear.unionByName(singles)
     # anchors are gathered by a hash of the document: if two share one, both only look at more anchors
     each = singles.select(F.xxhash64(*document).alias("key"), F.explode("anchors").alias("anchor"))
     often = materialize(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "often")
     release(spark)
     wanted = materialize(each.join(often, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("wanted")), "wanted")
     release(spark)
-    around = materialize(long.withColumn("key", F.xxhash64(*document)).join(wanted, "key").mapInArrow(_surround, _ROUND), "around")
+    keyed = long.withColumn("key", F.xxhash64(*document))
+    around = materialize(sieve(keyed, F.col("key"), wanted.select("key"))[0].join(wanted, "key").mapInArrow(_surround, _ROUND), "around")
     release(spark)
     pieces = around.where("anchor is not null")
     compared = pieces.repartition("anchor").sortWithinPartitions("anchor", "left", "piece", "doc", "digest", "start").mapInArrow(_compare, "doc long, digest binary, start int, stop int")
@@ -351,5 +360,9 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256. An empty table gives no rows."""
     whole, stretches = spans(docs, doc_id, text)
-    marked = _documents(docs, doc_id, text).join(whole.withColumn("whole", F.lit(True)), ["doc", "digest"], "left").join(stretches, ["doc", "digest"], "left")
-    return marked.select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "stretches").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # texts are only shuffled if their id may be one of a document with repeats
+    some, clear = sieve(docs, _place(docs, doc_id), whole.select("doc").unionAll(stretches.select("doc")))
+    marked = _documents(some, doc_id, text).join(whole.withColumn("whole", F.lit(True)), ["doc", "digest"], "left").join(stretches, ["doc", "digest"], "left")
+    marked = marked.select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "stretches")
+    others = _documents(clear, doc_id, text).select("doc_id", "text", F.lit(False).alias("whole"), F.lit(None).cast(marked.schema["stretches"].dataType).alias("stretches"))
+    return marked.unionAll(others).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

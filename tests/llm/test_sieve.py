@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from slicewright.llm import exact_dedup, jaccard_join
+from slicewright.llm import exact_dedup, jaccard_join, suffix_dedup
 from slicewright.llm.sieve import sieve
 from slicewright.session import materialize
 
@@ -48,6 +48,14 @@ def test_near_dedup_shuffles_few_texts(spark, unlike):
     assert spent - (sent(spark) - began) < 0.3 * sum(len(t) for _, t in rows)
 
 
+def test_suffix_dedup_leaves_texts_where_they_are(spark, unlike):
+    rows, docs = unlike
+    began = sent(spark)
+    removed = {r["doc_id"]: r["n_removed"] for r in materialize(suffix_dedup.remove(docs), "cut").collect()}
+    assert removed == {k: 0 for k, _ in rows} | {1000 + k: len(t) for k, t in rows[-10:]}
+    assert sent(spark) - began < 1.5 * sum(len(t) for _, t in rows)
+
+
 @pytest.mark.parametrize("count", [0, 1, 5_000])
 def test_sieve(spark, count):
     rows = spark.range(20_000).select(F.when(F.col("id") > 0, F.col("id")).alias("Bit"), F.lit(b"\xff\x80").alias("map"), F.col("id").alias("page"))
