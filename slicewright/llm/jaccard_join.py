@@ -2,8 +2,8 @@
 
 1. Each document becomes its set of hashed shingles. Equal sets form one class; only classes go on.
 2. Which sets may be linked at all: a set is listed under its smallest tokens, more of them than two linked sets can differ in, so that linked sets share
-   several lists; it is known for each set how many at least. A task meets its own sets first and sends one entry for each list, so a token that everything
-   has is no hot key. Of a list only sets of one size block, or of two next to each other, meet. Sets that meet others in too few lists are left out.
+   several lists; it is known for each set how many at least. A task meets its own sets first and sends one entry for each list and size block, so a token
+   that everything has is no hot key. Of a list only sets of one size block, or of two next to each other, meet. Sets that meet others in too few lists are left out.
 3. With which: a set that is left is cut by hash position into somewhat more parts than two linked sets of its size can differ in. Index lists are kept by
    size block and position of the part: a list is only met by sets of its own block and the one below, all others are skipped unread.
    Sets in too few shared lists are left out. Each list links the others to its smallest one, and the components of these links are verified.
@@ -152,16 +152,22 @@ def class_of(tokens: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else None
 
 
-def meet_at_home(lists: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each set of a task the lists for which it speaks, one set for each list, and the lists that another set of the task is in too."""
-    flat = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
-    order = np.argsort(flat, kind="stable")
-    new = flat[order][1:] != flat[order][:-1]
-    first, last = np.append(True, new)[: len(flat)], np.append(new, True)[: len(flat)]
+def meet_at_home(lists: list[np.ndarray], blocks: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each set of a task the lists for which it speaks, one set for each list and size block, and the lists that another set of the task is in too,
+    one of its own size block or of one beside it."""
+    if not lists:
+        return []
+    sizes = [len(x) for x in lists]
+    flat, block = np.concatenate(lists), np.repeat(np.array(blocks, np.int16), sizes)
+    order = np.argsort(block, kind="stable")
+    order = order[np.argsort(flat[order], kind="stable")]
+    same, step = flat[order][1:] == flat[order][:-1], np.diff(block[order])
+    beside = same & (step <= 1)
     speaks, met = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
-    speaks[order], met[order] = first, ~(first & last)
-    cuts = np.cumsum([len(x) for x in lists])[:-1]
-    return [(x[s], x[m]) for x, s, m in zip(lists, np.split(speaks, cuts), np.split(met, cuts), strict=True)] if lists else []
+    speaks[order] = np.append(True, ~same | (step > 0))[: len(flat)]
+    met[order] = (np.append(False, beside) | np.append(beside, False))[: len(flat)]
+    cuts = np.cumsum(sizes)[:-1]
+    return [(x[s], x[m]) for x, s, m in zip(lists, np.split(speaks, cuts), np.split(met, cuts), strict=True)]
 
 
 _SETS = "doc_id long, digest long, n long, class long, block int, need int, lists array<bigint>, met array<bigint>"
@@ -175,7 +181,7 @@ def _describe(words: int, threshold: int) -> Callable[[Iterator[pa.RecordBatch]]
 
         def flush() -> pa.RecordBatch:
             nonlocal held
-            found = iter(meet_at_home([x for x in lists if x is not None]))
+            found = iter(meet_at_home([x for x in lists if x is not None], [r[4] for r, x in zip(rows, lists, strict=True) if x is not None]))
             both = [(None, None) if x is None else next(found) for x in lists]
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [pa.int64()] * 4 + [pa.int32()] * 2
@@ -347,20 +353,15 @@ def _tokens(words: int, threshold: int) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def _places(hits: DataFrame) -> DataFrame:
-    """(list, block) of the size blocks of lists in which classes meet."""
-    places = hits.groupBy("list", "block").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    at = lambda d: F.struct((F.col("block") + d).alias("block"), F.lit(d).alias("from"))
-    around = places.select("list", F.explode(F.array(at(-1), at(0), at(1))).alias("at"), "low", "high").select("list", "at.*", "low", "high")
-    pick = lambda d, c: F.max(F.when(F.col("from") == d, c))
-    found = around.groupBy("list", "block").agg(pick(0, F.col("low")).alias("low"), pick(0, F.col("low") < F.col("high")).alias("several"), F.bool_or(F.col("from") != 0).alias("beside"))
-    return found.where("low is not null and (several or beside)").select("list", "block")
-
-
-def _likely(hits: DataFrame) -> DataFrame:
-    """(class) of what meets others in as many lists as a link needs. ``hits`` have list, class, block, need, each list and class once."""
-    met = hits.join(_places(hits), ["list", "block"])
-    return met.groupBy("class").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).where("c >= need").select("class")
+def _meetings(listed: DataFrame) -> DataFrame:
+    """(class, c): in how many of its lists a class meets another one of its own size block or of one beside it, if in any."""
+    by_list = Window.partitionBy("list").orderBy("block", "class")
+    sent = listed.select(F.explode("lists").alias("list"), "class", "block")
+    # those of a list are in the order of their blocks, so who meets any meets the one before or after; of a class that several tasks sent, one entry is beside another class
+    for name, near in (("before", F.lag), ("after", F.lead)):
+        sent = sent.withColumn(name, (near("class").over(by_list) != F.col("class")) & (F.abs(near("block").over(by_list) - F.col("block")) <= 1))
+    met = sent.where("before or after").select("list", "class").unionByName(listed.select(F.explode("met").alias("list"), "class"))
+    return met.repartition("class").dropDuplicates(["class", "list"]).groupBy("class").agg(F.count(F.lit(1)).alias("c"))
 
 
 def _edges(hits: DataFrame) -> DataFrame:
@@ -395,22 +396,12 @@ def _classes(docs: DataFrame, doc_id: str, text: str, words: int, threshold: int
     release(spark)
     rows = _rows(docs, doc_id, text)
     described = materialize(rows.mapInArrow(_describe(words, threshold), _SETS), "sets")
-    listed = described.where("lists is not null")
-    by_list = Window.partitionBy("list").orderBy("class")
-    sent = listed.select(F.explode("lists").alias("list"), "class").withColumns({"before": F.lag("class").over(by_list), "after": F.lead("class").over(by_list)})
-    # of a class that several tasks sent, at least one entry is beside another class
-    shared = materialize(sent.where("before <> class or after <> class").select("list", "class"), "shared")
-    release(spark)
-    needs = listed.groupBy("class").agg(F.first("block").alias("block"), F.first("need").alias("need"))
-    hits = materialize(shared.unionByName(listed.select(F.explode("met").alias("list"), "class")).distinct().join(needs, "class"), "hits")
-    maybe = materialize(_likely(hits), "maybe")
-    for used in (shared, hits):
-        drop_materialized(used)
+    met = materialize(_meetings(described.where("lists is not null")), "met")
     release(spark)
     lowest_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("low")
-    classes = described.where("class is not null").groupBy("class").agg(lowest_row, F.count(F.lit(1)).alias("copies"), F.first("block").alias("size"))
-    classes = materialize(classes.select("class", F.col("low.doc_id").alias("first"), F.col("low.digest").alias("digest"), "copies", "size"), "classes")
-    likely = materialize(classes.join(maybe, "class", "left_semi").select("class", "first", F.col("digest").alias("of"), "copies", "size"), "likely")
+    classes = described.where("class is not null").groupBy("class").agg(lowest_row, F.count(F.lit(1)).alias("copies"), F.first("block").alias("size"), F.max("need").alias("need"))
+    classes = materialize(classes.select("class", F.col("low.doc_id").alias("first"), F.col("low.digest").alias("digest"), "copies", "size", "need"), "classes")
+    likely = materialize(classes.join(met, "class").where("c >= need").select("class", "first", F.col("digest").alias("of"), "copies", "size"), "likely")
     texts = sieve(rows, F.col("doc_id"), likely.select("first"))[0].join(likely, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("of"))).select("text", "class", "copies", "size")
     sets = materialize(texts.mapInArrow(_tokens(words, threshold), _TOKENS), "tokens")
     release(spark)
@@ -421,15 +412,17 @@ def _classes(docs: DataFrame, doc_id: str, text: str, words: int, threshold: int
     near = materialize(components(edges), "near")
     drop_materialized(edges)
     release(spark)
-    near = sets.join(near, near["node"] == sets["class"]).select("class", "copies", "size", "tokens", F.col("root").alias("comp"))
-    sized = near.groupBy("comp", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    members = sets.select("class", "size").distinct().join(near, near["node"] == sets["class"]).select("class", "size", F.col("root").alias("comp"))
+    sized = members.groupBy("comp", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     sized = sized.groupBy("comp").agg(F.map_from_entries(F.collect_list(F.struct("size", "blocks"))).alias("sizes"))  # as many as there are size blocks: under 200
     at = lambda size, k: F.shiftleft(size.cast("long"), 32) + k
     matching = F.filter(F.sequence(F.col("size") - 1, F.col("size") + 1), lambda s: F.map_contains_key("sizes", s))
     others = F.flatten(F.transform(matching, lambda s: F.transform(F.sequence(F.lit(0), F.col("sizes")[s] - 1), lambda k: at(s, k))))
     block = at(F.col("size"), F.pmod(F.xxhash64("class"), F.col("sizes")[F.col("size")]))
-    dealt = near.join(sized, "comp").withColumns({"block": block, "other": F.explode(others)})
-    tiled = dealt.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "block", "copies", "tokens")
+    dealt = members.join(sized, "comp").select("class", "comp", block.alias("block"), others.alias("others"))
+    # tokens are only shuffled for sets that have a place, first to it and then to its tiles
+    placed = sieve(sets.select("class", "copies", "tokens"), F.col("class"), near.select("node"))[0].join(dealt, "class").withColumn("other", F.explode("others"))
+    tiled = placed.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "block", "copies", "tokens")
     verified = materialize(tiled.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_tiles(threshold), "a long, b long, w long"), "links")
     release(spark)
     roots = components(verified.where("b is not null").select("a", "b"))
@@ -439,7 +432,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, words: int, threshold: int
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"), F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest", "class")).alias("low"))
     by_class = named.join(lowest, "root").select("class", "component_id", "n_links", "first", "digest", (F.col("low.class") == F.col("class")).alias("stays"))
     by_class = materialize(by_class, "by_class")
-    for used in (maybe, likely, classes, sets, verified):
+    for used in (met, likely, classes, sets, near, verified):
         drop_materialized(used)
     return described, by_class
 
