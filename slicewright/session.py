@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,10 @@ SETTINGS = {
     "spark.ui.enabled": "false",
 }
 
+#: Rows that go to a Python worker at once at most: an executor holds each task's batch outside its heap, twice, and texts may be long.
+BATCH_ROWS = 2_048
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def local_session(cores: str | int = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; a cluster's own session is used as it is."""
@@ -37,11 +43,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile sends rows to Python workers by ``BATCH_ROWS`` at most, or fewer if the session says so."""
+    before = spark.conf.get(_BATCH)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
