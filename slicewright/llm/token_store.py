@@ -2,7 +2,7 @@
 
 Format, as tables that Spark reads from any file system:
 
-* ``<name>``: bucketed by key, partitioned by kind. ``chunk`` rows hold a piece of a document's id stream under the
+* ``<name>``: bucketed by key, rows of two kinds. ``chunk`` rows hold a piece of a document's id stream under the
   blake2b-128 of its bytes (ids as little-endian uint16, or uint32 for vocabularies above 65,536), each stored once.
   A rolling sum over the last ``WINDOW`` mixed ids decides the cuts, so equal passages give equal chunks wherever they stand.
 * recipes, in ascending doc_id order: doc_id, start (ids of all documents before), n_tokens, crc32, the digests of the
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicewright.session import drop_materialized, materialize, release
+from slicewright.session import drop_materialized, materialize, release, small_batches
 
 END_ID = 0
 WINDOW, AVERAGE, LEAST, MOST = 16, 512, 128, 4096
@@ -276,7 +276,9 @@ def write(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: st
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"token_store_{uuid.uuid4().hex[:12]}"
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(_stream(tokenizer_path, wide), _STREAM)
-    rows.repartition("key").dropDuplicates(["key"]).write.partitionBy("kind").bucketBy(buckets, "key").option("compression", "zstd").saveAsTable(name)
+    with small_batches(spark):
+        # one file a bucket for both kinds: each file that an executor makes starts a process or two, which for a moment count its memory twice
+        rows.repartition("key").dropDuplicates(["key"]).write.bucketBy(buckets, "key").option("compression", "zstd").saveAsTable(name)
     release(spark)
     recipes = spark.table(name).where("kind = 'recipe'").select("doc_id", "n_tokens", "ids_crc32", "digests", "key")
     ordered = recipes.repartitionByRange("doc_id", "n_tokens", "ids_crc32", "key").sortWithinPartitions("doc_id", "n_tokens", "ids_crc32", "key")
