@@ -45,9 +45,10 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
 
 
-def sliced(spark: SparkSession, sf_dir: str, name: str, *key: str) -> DataFrame:
-    """A table with ``_slice``, ``_pos`` and ``_ord``."""
-    return deal(number_rows(table(spark, sf_dir, name), *key), N)
+def sliced(spark: SparkSession, sf_dir: str, name: str, *key: str, columns: list[str] | None = None) -> DataFrame:
+    """A table, or the columns named of it, with ``_slice``, ``_pos`` and ``_ord``."""
+    rows = table(spark, sf_dir, name)
+    return deal(number_rows(rows.select(*columns) if columns else rows, *key), N)
 
 
 def ord_sql(name: str, key: str) -> str:
@@ -714,7 +715,7 @@ def checksum_sorted(spark, sf_dir):
 
 @query(f"select md5(string_agg({_DIGEST}, '' order by ord % 4, ord // 4)) as checksum from {ord_sql('orders', 'o_orderkey')}")
 def checksum_unsorted(spark, sf_dir):
-    return aggregate.checksum_ordered(sliced(spark, sf_dir, "orders", "o_orderkey"), _DIGESTED, ["_slice", "_pos"])
+    return aggregate.checksum_ordered(sliced(spark, sf_dir, "orders", "o_orderkey", columns=_DIGESTED), _DIGESTED, ["_slice", "_pos"])
 
 
 @query("select sum(('0x' || substr(md5(o_custkey || chr(1) || o_orderkey || chr(1)), 1, 15))::bigint::hugeint)::varchar as checksum, count(*) as n_rows from orders")
