@@ -469,12 +469,12 @@ _L_ORD = ord_sql("lineitem", _L_KEY)
 
 
 def _lines(spark, sf_dir) -> DataFrame:
-    return sliced(spark, sf_dir, "lineitem", *LINE_KEY)
+    return sliced(spark, sf_dir, "lineitem", *LINE_KEY, columns=LINE_KEY)
 
 
 @query(f"select ord, (ord % 4)::int as slice, row_number() over (partition by ord % 4 order by l_partkey, l_quantity, ord) - 1 as pos from {_L_ORD}")
 def sort_within(spark, sf_dir):
-    out = sorting.sort_within(_lines(spark, sf_dir), ["l_partkey", "l_quantity"])
+    out = sorting.sort_within(_lines(spark, sf_dir).select("_ord", "_slice", "_pos", "l_partkey", "l_quantity"), ["l_partkey", "l_quantity"])
     return out.select(F.col("_ord").alias("ord"), F.col("_slice").alias("slice"), F.col("_pos").alias("pos"))
 
 
@@ -503,9 +503,9 @@ _HOLES = "case when event_id % 10 = 0 then null when event_id % 10 = 1 then 'nan
 
 @query(f"select event_id, (ord % 4)::int as slice, row_number() over (partition by ord % 4 order by case when v is null then '-inf'::double when isnan(v) then 'inf'::double else v end, ord) - 1 as pos from (select event_id, {_HOLES} as v, row_number() over (order by event_id) - 1 as ord from events)")
 def sort_nulls_nan(spark, sf_dir):
-    rows = sliced(spark, sf_dir, "events", "event_id")
+    rows = sliced(spark, sf_dir, "events", "event_id", columns=["event_id", "value"])
     value = F.when(F.col("event_id") % 10 == 0, F.lit(None)).when(F.col("event_id") % 10 == 1, F.lit(float("nan"))).otherwise(F.col("value"))
-    return sorting.sort_within(rows.withColumn("v", value), ["v"]).select("event_id", F.col("_slice").alias("slice"), F.col("_pos").alias("pos"))
+    return sorting.sort_within(rows.select("event_id", "_slice", "_pos", value.alias("v")), ["v"]).select("event_id", F.col("_slice").alias("slice"), F.col("_pos").alias("pos"))
 
 
 _TRIGGER = """

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicewright.catalog import Catalog, Dataset
-from slicewright.plans.ordinals import number_rows
+from slicewright.plans.ordinals import dense_places, number_rows
 from slicewright.plans.scan import Scan
 
 #: What null sorts as, by type; it ties with the real value. Other types sort null first.
@@ -39,10 +39,13 @@ def _order(df: DataFrame, columns: list[str], descending: bool) -> list[Column]:
 
 
 def sort_within(df: DataFrame, columns: list[str], descending: bool = False) -> DataFrame:
-    """Each slice by itself, stable in both directions; ``_pos`` is new. Rows are sorted inside the slices, as the slices are the units that grow in number."""
-    order = [c for c in _order(df, columns, descending)]
-    place = (F.row_number().over(Window.partitionBy("_slice").orderBy(*order)) - 1).cast("long")
-    return df.withColumn("_new", place).drop("_pos", "_chain_ix").withColumnRenamed("_new", "_pos")
+    """Each slice by itself, stable in both directions; ``_pos`` is new. Ranges of slices and keys are sorted, as a slice may be too large for a task."""
+    _order(df, columns, descending)  # what can't be sorted is refused by its own name
+    names = [c if c in ("_chain_ix", "_slice", "_pos") else f"c{k}" for k, c in enumerate(df.columns)]  # any text may name a column, but not in a file
+    plain, physical = df.toDF(*names), dict(zip(df.columns, names, strict=True))
+    placed = dense_places(plain, *_order(plain, [physical[c] for c in columns], descending))
+    kept = {p: c for p, c in zip(names, df.columns, strict=True) if c not in ("_pos", "_chain_ix")}
+    return placed.select(*kept, "_pos").toDF(*kept.values(), "_pos")
 
 
 def sort_chain(catalog: Catalog, name: str, source: str, columns: list[str], descending: bool = False, previous: str | None = None, length: int = -1) -> Dataset:

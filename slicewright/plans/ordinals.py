@@ -21,11 +21,11 @@ def number_rows(df: DataFrame, *order: str | Column, name: str = "_ord") -> Data
     return stored.join(offsets, "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
 
 
-def dense_places(rows: DataFrame, *order: str) -> DataFrame:
+def dense_places(rows: DataFrame, *order: str | Column) -> DataFrame:
     """Rows with places dense from 0 in each slice, in the order given; no task sees a slice as a whole."""
     numbered = number_rows(rows, "_slice", *order, name="_n")
     starts = F.broadcast(numbered.groupBy("_slice").agg(F.min("_n").alias("_start")))  # a row per slice
-    return numbered.join(starts, "_slice").withColumn("_pos", F.col("_n") - F.col("_start")).drop("_n", "_start", *[c for c in order if c != "_pos"])
+    return numbered.join(starts, "_slice").withColumn("_pos", F.col("_n") - F.col("_start")).drop("_n", "_start", *[c for c in order if isinstance(c, str) and c != "_pos"])
 
 
 def deal(df: DataFrame, slices: int, ordinal: str = "_ord") -> DataFrame:

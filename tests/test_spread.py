@@ -6,7 +6,7 @@ from hashlib import md5
 import pytest
 from pyspark.sql import functions as F
 
-from slicewright.operators import aggregate
+from slicewright.operators import aggregate, sorting
 
 ROWS = 4_000
 
@@ -77,3 +77,18 @@ def test_sorted_checksum_is_spread(spark, most_read):
         got, rows, size = most_read(lambda c=column: aggregate.checksum_sorted(df, [c]).first()["checksum"])
         assert got == text_md5(sorted(map(digest, values)))
         assert rows < ROWS / 2 and size < ROWS * 16
+
+
+def test_a_slice_is_sorted_in_ranges(spark, most_read):
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        df = spark.range(ROWS, numPartitions=8).select(F.col("id").alias("_n"), (F.col("id") % 7).alias("a"), F.lit("same").alias("A"), F.lit("same").alias("x.y z"), F.lit(0).alias("_slice"), F.col("id").alias("_pos"))
+        for by, key in ((["x.y z", "a"], lambda i: i % 7), (["A"], lambda i: 0)):
+            out, most, _ = most_read(lambda by=by: sorting.sort_within(df, by).collect())
+            assert out[0].__fields__ == ["_n", "a", "A", "x.y z", "_slice", "_pos"]
+            assert [tuple(r) for r in sorted(out, key=lambda r: r[5])] == [(i, i % 7, "same", "same", 0, at) for at, i in enumerate(sorted(range(ROWS), key=key))]
+            assert most < ROWS / 2
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    with pytest.raises(TypeError, match="pair"):
+        sorting.sort_within(spark.range(1).select(F.struct("id").alias("pair"), F.lit(0).alias("_slice"), F.col("id").alias("_pos")), ["pair"])
