@@ -494,7 +494,7 @@ def sort_across(spark, sf_dir):
 
 @query(f"select ord, (ord % 4)::int as slice, row_number() over (partition by ord % 4 order by l_shipdate desc, ord) - 1 as pos from {_L_ORD}")
 def sort_desc_stable(spark, sf_dir):
-    out = sorting.sort_within(_lines(spark, sf_dir), ["l_shipdate"], descending=True)
+    out = sorting.sort_within(_lines(spark, sf_dir).select("_ord", "_slice", "_pos", "l_shipdate"), ["l_shipdate"], descending=True)
     return out.select(F.col("_ord").alias("ord"), F.col("_slice").alias("slice"), F.col("_pos").alias("pos"))
 
 

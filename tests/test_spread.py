@@ -92,3 +92,11 @@ def test_a_slice_is_sorted_in_ranges(spark, most_read):
         spark.conf.unset("spark.sql.caseSensitive")
     with pytest.raises(TypeError, match="pair"):
         sorting.sort_within(spark.range(1).select(F.struct("id").alias("pair"), F.lit(0).alias("_slice"), F.col("id").alias("_pos")), ["pair"])
+
+
+def test_a_slice_of_few_values_is_sorted_down_in_ranges(spark, most_read):
+    days = "case when id % 5 > 0 then date_add(date'2020-01-01', cast(id % 5 as int)) end"
+    df = spark.range(ROWS, numPartitions=8).select("id", F.expr(days).alias("day"), F.lit(3).alias("_slice"), F.col("id").alias("_pos"))
+    out, most, _ = most_read(lambda: sorting.sort_within(df, ["day"], descending=True).collect())
+    assert [r["id"] for r in sorted(out, key=lambda r: r["_pos"])] == sorted(range(ROWS), key=lambda i: -(i % 5 or 9))
+    assert most < ROWS / 2
